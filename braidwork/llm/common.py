@@ -61,12 +61,14 @@ def row_key(df: DataFrame) -> Column:
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def word_blocks(text: str | None, block: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The words of a whole text, in blocks of about ``block`` bytes.
+def word_blocks(text: str | None, fold: bool = False, block: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a whole text, in blocks of about ``block`` bytes; ``fold``
+    lower-cases A-Z.
 
     bytes.split() divides at the six ASCII white-space bytes, as WORD does.
     """
     data = (text or "").encode("utf-8", "surrogatepass")
+    data = data.lower() if fold else data
     at = 0
     while at < len(data):
         end = at + block

@@ -102,11 +102,22 @@ def fit(lengths: list[int], counts: list[int], budget: int, last: int = LAST_WOR
 
 
 def _quotas(group: pd.DataFrame) -> pd.DataFrame:
+    """Whole passes of each length, and how many documents get one more. Where
+    the documents of one pass leave a gap (one long text may be most of a
+    source), further passes of others may fill it."""
     size, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
-    passes = min(MOST_PASSES, int(target // size)) if size else 1
-    budget = min(size, round(target - passes * size)) if size and passes < MOST_PASSES else 0
-    extra = fit([int(x) for x in group["size"]], [int(x) for x in group["n"]], budget)
-    return pd.DataFrame({"skey": group["skey"], "size": group["size"], "passes": passes, "extra": extra})
+    lengths, counts = [int(x) for x in group["size"]], [int(x) for x in group["n"]]
+    base = min(MOST_PASSES, int(target // size)) if size else 1
+    extra = [0] * len(lengths)
+    if size and base < MOST_PASSES:
+        budget = min(size, round(target - base * size))
+        extra = fit(lengths, counts, budget)
+        gap = budget - sum(n * x for n, x in zip(lengths, extra, strict=True))
+        if gap:
+            more = fit(lengths, [(MOST_PASSES - base) * c - x for c, x in zip(counts, extra, strict=True)], gap)
+            extra = [x + y for x, y in zip(extra, more, strict=True)]
+    whole = [base + x // c for x, c in zip(extra, counts, strict=True)]
+    return pd.DataFrame({"skey": group["skey"], "size": group["size"], "passes": whole, "extra": [x % c for x, c in zip(extra, counts, strict=True)]})
 
 
 def passes(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
