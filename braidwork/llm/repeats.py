@@ -4,16 +4,22 @@ A rolling hash over TRIGGER bytes sets triggers where it is the least of any
 WIDTH-byte string around it, so every WIDTH-byte string holds a trigger, the
 same one wherever it stands; triggers cut the text into phrases. A string is
 then known by its trigger, the end of the phrase before it (the dictionary
-side) and the text that goes on behind it (the parse side). Only triggers that
-two texts share go on. For those, the dictionary sides and the parse sides are
-sorted each by itself; neighbours' common lengths give the classes of each side
-at every length, and a pair of classes is a place in corpus order: strings are
-equal exactly if both classes are.
+side) and the text that goes on behind it (the parse side). A trigger and all
+bytes that strings around it can hold are its context.
+
+1. Chunks of texts tell which contexts they have (by digest) under which
+   triggers, and the smallest id of each. A context that an earlier document has
+   is a repeat as a whole; that decides the inside of every long repeat.
+2. Where a trigger has several contexts, each context's first holder sends its
+   bytes. Dictionary sides and parse sides are sorted each by itself; neighbours'
+   common lengths give the classes of each side at every length, and a pair of
+   classes is a place in corpus order: strings are equal exactly if both are.
+3. Chunks mark what they were told and hash what remains.
 
 Texts travel in chunks, compressed; what chunks and buckets of triggers tell
 each other are packed arrays, so no row is made for a single trigger. A trigger
-that stands in many chunks (a passage in a third of all texts) would gather its
-contexts in one bucket; its strings are dealt by their own hashes instead.
+with many contexts (the edge of a passage in a third of all texts) would gather
+them in one bucket; its strings are dealt by their own 64-bit hashes instead.
 """
 
 from __future__ import annotations
@@ -35,42 +41,62 @@ WIDTH, TRIGGER = 50, 16
 #: Bytes on either side of a trigger that strings around it can hold.
 SIDE = WIDTH - TRIGGER
 #: Bytes of text in a chunk; a longer text is a chunk by itself.
-CHUNK = 4 << 20
-#: A trigger in so many chunks has its strings dealt by their own hashes.
-HOT = 64
+CHUNK = 2 << 20
+#: Bytes that are parsed at a time, whatever a chunk's size.
+BLOCK = 1 << 20
+#: Contexts of one trigger, in a chunk and in all, from which on it is hot.
+HOT_HERE, HOT = 32, 4096
 _TABLE = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
+_DIGEST = np.uint64((1 << 48) - 1)
+_powers: list[np.ndarray] = []
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+def _squeeze(*arrays: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def _open(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def rolling(data: np.ndarray, width: int) -> np.ndarray:
-    """A mixed polynomial hash of the ``width`` bytes from each place on."""
-    n = len(data) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    power = lambda k: np.uint64(pow(_BASE, k, 1 << 64))
-    block, span, out, done = _TABLE[data], 1, None, 0
-    rest = width
-    while rest:
-        if rest & 1:
-            piece = block[done : done + n]
-            out = piece.copy() if out is None else out * power(span) + piece
-            done += span
-        rest >>= 1
-        if rest:
-            block = block[:-span] * power(span) + block[span:]
-            span *= 2
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
-    return out
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
+        tables = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.full(max(n, BLOCK + 2 * WIDTH + 2), base, np.uint64)
+            out[0] = 1
+            tables.append(np.cumprod(out, dtype=np.uint64))
+        _powers[:] = tables
+    return _powers[0][:n], _powers[1][:n]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+class Rolling:
+    """Polynomial hashes of any strings of some bytes, by prefix sums."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        up, self.down = _power_tables(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_TABLE[data] * up[:n], dtype=np.uint64, out=self.sums[1:])
+
+    def every(self, width: int) -> np.ndarray:
+        """Of the ``width`` bytes from each place on."""
+        n = max(0, len(self.sums) - width)
+        return _mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
+
+    def some(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mix((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
 
 def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -94,7 +120,7 @@ class Chunk:
     @staticmethod
     def pack(ids: list[int | None], texts: list[bytes]) -> bytes:
         head = np.array([len(ids)], np.int64)
-        return _squeeze(head, np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
+        return _squeeze(head, np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8), level=5)
 
     @staticmethod
     def unpack(blob: bytes) -> Chunk:
@@ -104,79 +130,85 @@ class Chunk:
         size = np.frombuffer(raw[8 + 9 * n : 8 + 17 * n], np.int64)
         return Chunk(ids, known, np.cumsum(size), np.frombuffer(raw, np.uint8, -1, 8 + 17 * n))
 
-    def parse(self) -> None:
-        """``at``: the triggers' places; ``code``: their hashes; ``doc``: the
-        text of each; ``low``, ``high``: bytes of the text on either side."""
+    def parse(self, bits: int) -> None:
+        """``at``: the triggers' places; ``doc``: the text of each; ``low``,
+        ``high``: bytes of the text on either side that strings can hold;
+        ``key``: 32 + bits bits of the trigger's hash, the upper ones name its
+        bucket; ``digest``: 48 bits of the context's."""
         self.begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
-        self.at, self.code, self.doc = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if len(self.data) >= WIDTH:
-            h = rolling(self.data, TRIGGER) | np.uint64(1)
-            least = _slide(h, SIDE + 1, np.minimum)
-            whole = np.zeros(len(least) + WIDTH, np.int8)  # strings that lie in one text of known id
-            use = (self.ends - self.begins >= WIDTH) & self.known
-            np.add.at(whole, self.begins[use], 1)
-            np.add.at(whole, self.ends[use] - WIDTH + 1, -1)
-            least[np.cumsum(whole[: len(least)], dtype=np.int8) == 0] = 0
-            most = _slide(np.concatenate([np.zeros(SIDE, np.uint64), least, np.zeros(SIDE, np.uint64)]), SIDE + 1, np.maximum)
-            self.at = np.flatnonzero(most == h)
-            self.code = h[self.at]
-            self.doc = np.searchsorted(self.ends, self.at, "right")
-        self.low = np.minimum(SIDE, self.at - self.begins[self.doc]) if len(self.at) else self.at
-        self.high = np.minimum(SIDE, self.ends[self.doc] - self.at - TRIGGER) if len(self.at) else self.at
-
-    def keys(self, bits: int) -> np.ndarray:
-        """32 + ``bits`` bits of each trigger's hash; the upper ones name its bucket."""
-        return self.code >> np.uint64(32 - bits)
-
-    def shared(self, bits: int, told: np.ndarray) -> np.ndarray:
-        """Which triggers stand in two texts here or, as ``told``, in other chunks."""
-        keys = self.keys(bits)
-        order = np.argsort(keys, kind="stable")
-        k, d = keys[order], self.doc[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        if not len(first):
-            return np.zeros(0, bool)
-        several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-        here = np.zeros(len(keys), bool)
-        here[order] = np.repeat(several, np.diff(np.append(first, len(k))))
-        return here | _among(keys, told)
-
-    def contexts(self, which: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct contexts by bucket: bytes (with the lengths of both sides),
-        smallest id, bucket; and which context each trigger of ``which`` has."""
-        rows = np.zeros((len(which), SIDE + WIDTH + 2), np.uint8)
-        span = np.arange(-SIDE, WIDTH)
-        for k in range(0, len(which), 1 << 15):
-            w = which[k : k + (1 << 15)]
-            place = self.at[w][:, None] + span
-            inside = (span >= -self.low[w][:, None]) & (span < TRIGGER + self.high[w][:, None])
-            rows[k : k + len(w), :-2] = np.where(inside, self.data[np.clip(place, 0, len(self.data) - 1)], 0)
-            rows[k : k + len(w), -2], rows[k : k + len(w), -1] = self.low[w], self.high[w]
-        bucket = (self.keys(bits)[which] >> np.uint64(32)).astype(np.int64)
-        order = _lexical(rows, bucket)
-        rows, bucket = rows[order], bucket[order]
+        use = (self.ends - self.begins >= WIDTH) & self.known
+        first, last = self.begins[use], self.ends[use] - WIDTH  # first and last string of each text
+        at, code, digest = [], [], []
+        for begin in range(0, len(self.data) - WIDTH + 1, BLOCK):
+            low, high = max(0, begin - SIDE), min(len(self.data), begin + BLOCK + SIDE + WIDTH)
+            part = self.data[low:high]
+            roll = Rolling(part)
+            h = roll.every(TRIGGER)
+            small = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            least = _slide(small, SIDE + 1, np.minimum)
+            whole = np.zeros(len(least) + 1, np.int32)  # strings that lie in one text
+            np.add.at(whole, np.clip(first - low, 0, len(least)), 1)
+            np.add.at(whole, np.clip(last + 1 - low, 0, len(least)), -1)
+            least[np.cumsum(whole[:-1]) <= 0] = 0
+            edge = np.zeros(SIDE, np.uint32)
+            most = _slide(np.concatenate([edge, least, edge]), SIDE + 1, np.maximum)
+            here = np.flatnonzero(most == small)
+            here = here[(here >= begin - low) & (here < begin - low + BLOCK)]
+            place = here + low
+            doc = np.searchsorted(self.ends, place, "right")
+            side = np.minimum(SIDE, place - self.begins[doc]), np.minimum(SIDE, self.ends[doc] - place - TRIGGER)
+            at.append(place)
+            code.append(h[here])
+            digest.append(_mix(roll.some(here - side[0], here + TRIGGER + side[1]) + side[0].astype(np.uint64) * np.uint64(_BASE)))
+        self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
+        self.doc = np.searchsorted(self.ends, self.at, "right")
+        self.low = np.minimum(SIDE, self.at - self.begins[self.doc])
+        self.high = np.minimum(SIDE, self.ends[self.doc] - self.at - TRIGGER)
+        self.key = (np.concatenate(code) if code else np.zeros(0, np.uint64)) >> np.uint64(32 - bits)
+        self.digest = (np.concatenate(digest) if digest else np.zeros(0, np.uint64)) & _DIGEST
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (key, digest) in order, the smallest id of each, and which
+        one each trigger has."""
+        order = np.lexsort((self.digest, self.key))
+        key, digest = self.key[order], self.digest[order]
         new = np.ones(len(order), bool)
-        new[1:] = (rows[1:] != rows[:-1]).any(1) | (bucket[1:] != bucket[:-1])
+        new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
         first = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        ids = self.ids[self.doc[which[order]]]
-        least = np.minimum.reduceat(ids, first) if len(first) else ids
         own = np.empty(len(order), np.int64)
-        own[order] = group
-        return rows[first], least, bucket[first], own
+        own[order] = np.cumsum(new) - 1
+        least = np.minimum.reduceat(self.ids[self.doc[order]], first) if len(first) else np.zeros(0, np.int64)
+        return key[first], digest[first], least, own
+
+    def contexts(self, which: np.ndarray) -> np.ndarray:
+        """The bytes of the triggers' contexts, and the lengths of both sides."""
+        span = np.arange(-SIDE, WIDTH)
+        rows = np.zeros((len(which), SIDE + WIDTH + 2), np.uint8)
+        for k in range(0, len(which), 1 << 14):
+            w = which[k : k + (1 << 14)]
+            inside = (span >= -self.low[w][:, None]) & (span < TRIGGER + self.high[w][:, None])
+            rows[k : k + len(w), :-2] = np.where(inside, self.data[np.clip(self.at[w][:, None] + span, 0, len(self.data) - 1)], 0)
+        rows[:, -2], rows[:, -1] = self.low[which], self.high[which]
+        return rows
 
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All strings around the triggers ``which``: hash and smallest id of
         each distinct one; places; which distinct one each place has."""
-        back = np.arange(SIDE + 1)
-        whole = (back <= self.low[which][:, None]) & (SIDE - back <= self.high[which][:, None])
-        places = np.unique((self.at[which][:, None] - back)[whole])
-        if not len(places):
-            return np.zeros((0, 2), np.int64), places, places
-        hashes, own = np.unique(rolling(self.data, WIDTH)[places], return_inverse=True)
-        least = np.full(len(hashes), np.iinfo(np.int64).max)
+        back, found = np.arange(SIDE + 1), [np.zeros(0, np.int64)]
+        for k in range(0, len(which), 1 << 14):
+            w = which[k : k + (1 << 14)]
+            whole = (back <= self.low[w][:, None]) & (SIDE - back <= self.high[w][:, None])
+            found.append(np.unique((self.at[w][:, None] - back)[whole]))
+        places = np.unique(np.concatenate(found))
+        hashes = np.zeros(len(places), np.uint64)
+        for begin in range(0, len(self.data), BLOCK):
+            a, b = np.searchsorted(places, [begin, begin + BLOCK])
+            if a < b:
+                hashes[a:b] = Rolling(self.data[begin : begin + BLOCK + WIDTH]).every(WIDTH)[places[a:b] - begin]
+        distinct, own = np.unique(hashes, return_inverse=True)
+        least = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(least, own, self.ids[np.searchsorted(self.ends, places, "right")])
-        return np.stack([hashes.view(np.int64), least], 1), places, own
+        return np.stack([distinct.view(np.int64), least], 1), places, own
 
 
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -187,6 +219,15 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == x
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _spread(values: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    return np.repeat(values, np.diff(np.append(first, n)))
+
+
 def _lexical(rows: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
     """The order of byte rows, eight bytes at a time; ``first`` goes before."""
     wide = -(-rows.shape[1] // 8)
@@ -239,6 +280,9 @@ def corpus_classes(contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 # --- the steps, as functions over Arrow batches ---------------------------------
 
+# Kinds of messages.
+ENTRIES, CONTEXTS, STRINGS, HOT_KEYS = 0, 1, 2, 3
+
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
 _MESSAGE_SQL = "bucket int, kind int, chunk long, blob binary"
 
@@ -278,16 +322,57 @@ def _pack(size: int):
     return run
 
 
-def _triggers(bits: int):
+def _parts(bucket: np.ndarray) -> list[tuple[int, slice]]:
+    cut = [*_runs(bucket).tolist(), len(bucket)]
+    return [(int(bucket[a]), slice(a, b)) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(32)).astype(np.int64)
+
+
+def _told(told: dict[tuple[int, int], bytes], kind: int, bucket: int, n: int) -> np.ndarray:
+    raw = told.get((kind, bucket))
+    return np.unpackbits(np.frombuffer(_open(raw), np.uint8))[:n].astype(bool) if raw else np.zeros(n, bool)
+
+
+def _open_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys' lower 32 bits, digests, ids, and keys that are hot already."""
+    raw = _open(blob)
+    n, hot, base = np.frombuffer(raw, np.int64, 3)
+    at = 24
+    out = []
+    for kind, count in ((np.uint32, n), (np.uint32, n), (np.uint16, n), (np.uint32, hot), (np.int64, n)):
+        out.append(np.frombuffer(raw[at : at + count * np.dtype(kind).itemsize], kind))
+        at += count * np.dtype(kind).itemsize
+    rest, lower, upper, hot_keys, ids = out
+    return np.cumsum(rest, dtype=np.uint32), lower.astype(np.uint64) | (upper.astype(np.uint64) << np.uint64(32)), ids + base, hot_keys
+
+
+def _plain(key: np.ndarray, here: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries whose trigger is not hot in this chunk, and the keys that are."""
+    first = _runs(key)
+    many = np.diff(np.append(first, len(key))) >= here
+    return ~_spread(many, first, len(key)), key[first[many]]
+
+
+def _tell(bits: int, here: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 texts = Chunk.unpack(blob)
-                texts.parse()
-                keys = np.unique(texts.keys(bits))
-                bucket = (keys >> np.uint64(32)).astype(np.int64)
-                cut = np.flatnonzero(np.diff(bucket)) + 1
-                yield from _rows([(int(b[0]), 0, chunk, k.astype(np.uint32).tobytes()) for b, k in zip(np.split(bucket, cut), np.split(keys, cut), strict=True) if len(b)])
+                texts.parse(bits)
+                key, digest, least, _ = texts.entries()
+                plain, hot = _plain(key, here)
+                key, digest, least = key[plain], digest[plain], least[plain]
+                own, out = dict(_parts(_bucket(key))), []
+                hot_parts = dict(_parts(_bucket(hot)))
+                for b in sorted({*own, *hot_parts}):
+                    s, t = own.get(b, slice(0, 0)), hot_parts.get(b, slice(0, 0))
+                    rest = key[s].astype(np.uint32)
+                    base = int(least[s].min()) if len(rest) else 0
+                    out.append((b, ENTRIES, chunk, _squeeze(np.array([len(rest), len(hot[t]), base]), np.diff(rest, prepend=np.uint32(0)), digest[s].astype(np.uint32), (digest[s] >> np.uint64(32)).astype(np.uint16), hot[t].astype(np.uint32), least[s] - base)))
+                yield from _rows(out)
 
     return run
 
@@ -310,70 +395,111 @@ def _by_bucket(answer):
     return run
 
 
-def _meet_triggers(hot: int):
+def _meet_entries(most: int):
     def answer(bucket: int, _: int, held: list[tuple[int, bytes]]) -> list[tuple[int, int, int, bytes]]:
-        """Kind 1: triggers that another chunk has too; kind 2: those in many."""
-        own = [np.frombuffer(b, np.uint32) for _, b in held]
-        every, n = np.unique(np.concatenate(own), return_counts=True)
-        common, many = every[n > 1], every[n >= hot]
-        out = []
-        for (chunk, _b), x in zip(held, own, strict=True):
-            for kind, known in ((1, common), (2, many)):
-                if len(y := x[_among(x, known)]):
-                    out.append((bucket, kind, chunk, y.tobytes()))
+        """To each chunk: which of its entries an earlier document has (bits),
+        which it is the first to hold and has to send (bits), which keys are hot."""
+        opened = [_open_entries(b) for _, b in held]
+        key, digest, ids = (np.concatenate([o[k] for o in opened]) for k in range(3))
+        said = np.unique(np.concatenate([o[3] for o in opened]))
+        order = np.lexsort((digest, key))
+        k, d, i = key[order], digest[order], ids[order]
+        n = len(k)
+        entry = np.ones(n, bool)
+        entry[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+        first, group = np.flatnonzero(entry), _runs(k)
+        least = _spread(np.minimum.reduceat(i, first), first, n) if n else i
+        low = _spread(np.minimum.reduceat(least, group), group, n) if n else i
+        high = _spread(np.maximum.reduceat(least, group), group, n) if n else i
+        several = _spread(np.add.reduceat(entry.astype(np.int64), group), group, n) if n else i
+        hot = (several >= most) | _among(k, said)
+        covered, sends = np.empty(n, bool), np.empty(n, bool)
+        covered[order] = (i > least) & ~hot
+        sends[order] = (i == least) & (low != high) & ~hot
+        hot_keys = np.union1d(said, k[hot])
+        out, at = [], 0
+        for (chunk, _b), o in zip(held, opened, strict=True):
+            span = slice(at, at + len(o[0]))
+            at += len(o[0])
+            mine = hot_keys[_among(hot_keys, np.union1d(o[0], o[3]))]
+            for kind, flags in ((ENTRIES, covered[span]), (CONTEXTS, sends[span])):
+                if flags.any():
+                    out.append((bucket, kind, chunk, _squeeze(np.packbits(flags))))
+            if len(mine):
+                out.append((bucket, HOT_KEYS, chunk, mine.tobytes()))
         return out
 
     return answer
 
 
-def _told(messages: list[dict], kind: int) -> np.ndarray:
-    """The trigger keys of the messages of ``kind``, sorted."""
-    parts = [np.frombuffer(m["blob"], np.uint32).astype(np.uint64) + (np.uint64(m["bucket"]) << np.uint64(32)) for m in messages if m["kind"] == kind]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
-def _split(texts: Chunk, bits: int, messages: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """The shared triggers of a chunk: those with contexts, and those in many chunks."""
-    shared = texts.shared(bits, _told(messages, 1))
-    many = _among(texts.keys(bits), _told(messages, 2))
-    return np.flatnonzero(shared & ~many), np.flatnonzero(shared & many)
+@dataclass
+class Heard:
+    """A chunk's entries and what it was told about them."""
 
+    covered: np.ndarray
+    sends: np.ndarray
+    hot: np.ndarray
+    least: np.ndarray
+    own: np.ndarray
+    key: np.ndarray
 
-def _parts(bucket: np.ndarray) -> list[tuple[int, slice]]:
-    cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-    return [(int(bucket[a]), slice(a, b)) for a, b in zip(cut, cut[1:], strict=False) if b > a]
+    @staticmethod
+    def of(texts: Chunk, told: dict[tuple[int, int], bytes], here: int) -> Heard:
+        key, _, least, own = texts.entries()
+        keys = [np.frombuffer(b, np.uint32).astype(np.uint64) + (np.uint64(bucket) << np.uint64(32)) for (kind, bucket), b in told.items() if kind == HOT_KEYS]
+        hot = _among(key, np.sort(np.concatenate(keys))) if keys else np.zeros(len(key), bool)
+        covered, sends = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        plain = np.flatnonzero(_plain(key, here)[0])
+        for b, s in _parts(_bucket(key[plain])):
+            n = s.stop - s.start
+            covered[plain[s]], sends[plain[s]] = _told(told, ENTRIES, b, n), _told(told, CONTEXTS, b, n)
+        return Heard(covered, sends, hot, least, own, key)
+
+    def senders(self, texts: Chunk) -> np.ndarray:
+        """One trigger, in the first document, for each entry to be sent."""
+        mine = np.flatnonzero(self.sends[self.own] & (texts.ids[texts.doc] == self.least[self.own]))
+        entry = self.own[mine]
+        order = np.argsort(entry, kind="stable")
+        return mine[order][_runs(entry[order])]
 
 
 def _string_buckets(strings: np.ndarray, bits: int) -> np.ndarray:
     return (strings[:, 0].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _ask(bits: int):
+def _told_by(messages: list[dict] | None) -> dict[tuple[int, int], bytes]:
+    return {(m["kind"], m["bucket"]): m["blob"] for m in messages or []}
+
+
+def _ask(bits: int, here: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 3: contexts by their trigger's bucket; kind 4: strings by their own."""
         for batch in batches:
             for chunk, blob, messages in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                told = _told_by(messages)
+                if not any(kind in (CONTEXTS, HOT_KEYS) for kind, _ in told):
+                    continue
                 texts = Chunk.unpack(blob)
-                texts.parse()
-                some, many = _split(texts, bits, messages or [])
-                out = []
-                if len(some):
-                    rows, least, bucket, _ = texts.contexts(some, bits)
-                    out += [(b, 3, chunk, _squeeze(least[s], rows[s])) for b, s in _parts(bucket)]
+                texts.parse(bits)
+                heard, out = Heard.of(texts, told, here), []
+                which = heard.senders(texts)
+                rows = texts.contexts(which)
+                ids = texts.ids[texts.doc[which]]
+                out += [(b, CONTEXTS, chunk, _squeeze(ids[s], rows[s])) for b, s in _parts(_bucket(texts.key[which]))]
+                many = np.flatnonzero(heard.hot[heard.own])
                 if len(many):
                     strings, _, _ = texts.strings(many)
-                    order = np.argsort(strings[:, 0].view(np.uint64))
-                    strings = strings[order]
-                    out += [(b, 4, chunk, _squeeze(np.ascontiguousarray(strings[s].T))) for b, s in _parts(_string_buckets(strings, bits))]
+                    strings = strings[np.argsort(strings[:, 0].view(np.uint64))]
+                    out += [(b, STRINGS, chunk, _squeeze(np.ascontiguousarray(strings[s].T))) for b, s in _parts(_string_buckets(strings, bits))]
                 yield from _rows(out)
 
     return run
 
 
 def _meet_contexts(bucket: int, kind: int, held: list[tuple[int, bytes]]) -> list[tuple[int, int, int, bytes]]:
-    """The smallest id for each string that a chunk asked about, in its order."""
+    """To each chunk, in the order it asked: for each string, whether an earlier
+    document has it; for strings of hot triggers, the smallest id."""
     raw = [_open(b) for _, b in held]
-    if kind == 4:
+    if kind == STRINGS:
         own = [np.frombuffer(r, np.int64).reshape(2, -1) for r in raw]
         every, at = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True)
         least = np.full(len(every), np.iinfo(np.int64).max)
@@ -384,45 +510,60 @@ def _meet_contexts(bucket: int, kind: int, held: list[tuple[int, bytes]]) -> lis
     sizes = [len(r) // (8 + wide) for r in raw]
     ids = np.concatenate([np.frombuffer(r, np.int64, n) for r, n in zip(raw, sizes, strict=True)])
     rows = np.concatenate([np.frombuffer(r, np.uint8, -1, 8 * n).reshape(n, wide) for r, n in zip(raw, sizes, strict=True)])
-    least = corpus_classes(rows, ids)
-    cut = np.cumsum(sizes)[:-1]
-    return [(bucket, kind, chunk, _squeeze(np.ascontiguousarray(x.T))) for (chunk, _), x in zip(held, np.split(least, cut), strict=True)]
+    earlier = corpus_classes(rows, ids) < ids[:, None]
+    return [(bucket, kind, chunk, _squeeze(np.packbits(x))) for (chunk, _), x in zip(held, np.split(earlier, np.cumsum(sizes)[:-1]), strict=True)]
 
 
 _REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, text_bytes binary"
 
 
-def _remove(bits: int, texts_too: bool):
+def _marked(texts: Chunk, told: dict[tuple[int, int], bytes], answers: dict[tuple[int, int], bytes], bits: int, here: int) -> np.ndarray:
+    """Which bytes go."""
+    change = np.zeros(len(texts.data) + WIDTH + 1, np.int32)  # strings that go, as steps
+    heard = Heard.of(texts, told, here)
+    ids = texts.ids[texts.doc]
+    # A context of an earlier document here or elsewhere: all its strings go.
+    full = np.flatnonzero((heard.covered[heard.own] | (ids > heard.least[heard.own])))
+    far, near = np.minimum(SIDE, texts.low[full]), np.maximum(0, SIDE - texts.high[full])
+    some = far >= near
+    np.add.at(change, texts.at[full][some] - far[some], 1)
+    np.add.at(change, texts.at[full][some] - near[some] + 1, -1)
+    which = heard.senders(texts)
+    if len(which):
+        parts = [np.unpackbits(np.frombuffer(_open(answers[CONTEXTS, b]), np.uint8))[: (s.stop - s.start) * (SIDE + 1)].reshape(-1, SIDE + 1) for b, s in _parts(_bucket(texts.key[which]))]
+        earlier = np.zeros((len(heard.key), SIDE + 1), bool)
+        earlier[heard.own[which]] = np.concatenate(parts).astype(bool)
+        # The first document may hold the context more than once.
+        first = np.flatnonzero(heard.sends[heard.own] & (ids == heard.least[heard.own]))
+        i, j = np.nonzero(earlier[heard.own[first]])
+        np.add.at(change, texts.at[first][i] - j, 1)
+        np.add.at(change, texts.at[first][i] - j + 1, -1)
+    many = np.flatnonzero(heard.hot[heard.own])
+    if len(many):
+        strings, places, own = texts.strings(many)
+        order = np.argsort(strings[:, 0].view(np.uint64))
+        least = np.empty(len(strings), np.int64)
+        least[order] = np.concatenate([np.frombuffer(_open(answers[STRINGS, b]), np.int64) for b, _ in _parts(_string_buckets(strings[order], bits))])
+        go = places[least[own] < texts.ids[np.searchsorted(texts.ends, places, "right")]]
+        np.add.at(change, go, 1)
+        np.add.at(change, go + 1, -1)
+    starts = np.flatnonzero(np.cumsum(change) > 0)
+    edge = np.zeros(len(texts.data) + WIDTH + 1, np.int32)
+    edge[starts] += 1
+    edge[starts + WIDTH] -= 1
+    return np.cumsum(edge)[: len(texts.data)] > 0
+
+
+def _remove(bits: int, here: int, texts_too: bool):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text_bytes"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, messages in zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True):
+            for blob, messages, answers in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 texts = Chunk.unpack(blob)
-                texts.parse()
-                answers = messages or []
-                change = np.zeros(len(texts.data) + WIDTH + 1, np.int32)
-                some, many = _split(texts, bits, answers)
-                if len(some):
-                    _, _, bucket, own = texts.contexts(some, bits)
-                    told = {m["bucket"]: _open(m["blob"]) for m in answers if m["kind"] == 3}
-                    least = np.concatenate([np.frombuffer(told[b], np.int64).reshape(SIDE + 1, -1).T for b, _ in _parts(bucket)])
-                    for k in range(0, len(some), 1 << 15):
-                        w = some[k : k + (1 << 15)]
-                        i, j = np.nonzero(least[own[k : k + (1 << 15)]] < texts.ids[texts.doc[w]][:, None])
-                        np.add.at(change, texts.at[w][i] - j, 1)
-                if len(many):
-                    strings, places, own = texts.strings(many)
-                    order = np.argsort(strings[:, 0].view(np.uint64))
-                    told = {m["bucket"]: _open(m["blob"]) for m in answers if m["kind"] == 4}
-                    least = np.empty(len(strings), np.int64)
-                    least[order] = np.concatenate([np.frombuffer(told[b], np.int64) for b, _ in _parts(_string_buckets(strings[order], bits))])
-                    change[places[least[own] < texts.ids[np.searchsorted(texts.ends, places, "right")]]] += 1
-                starts = np.flatnonzero(change[: len(texts.data)] > 0)
-                edge = np.zeros(len(texts.data) + WIDTH + 1, np.int32)
-                edge[starts] += 1
-                edge[starts + WIDTH] -= 1
-                gone = np.cumsum(edge)[: len(texts.data)] > 0
+                texts.parse(bits)
+                gone = _marked(texts, _told_by(messages), _told_by(answers), bits, here)
                 rows = []
                 for k, (a, b) in enumerate(zip(texts.begins.tolist(), texts.ends.tolist(), strict=True)):
                     body, cut = texts.data[a:b], gone[a:b]
@@ -430,12 +571,12 @@ def _remove(bits: int, texts_too: bool):
                     kept = body[~cut].tobytes() if len(turn) else body.tobytes()
                     rows.append((int(texts.ids[k]) if texts.known[k] else None, b - a, int(cut.sum()), len(turn) // 2, hashlib.sha256(kept).hexdigest(), turn.astype(np.int64).tobytes(), kept if texts_too else None))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, texts_too: bool = False, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts_too: bool = False, chunk: int = CHUNK, here: int = HOT_HERE, hot: int = HOT) -> DataFrame:
     """One row a document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256,
     spans`` (pairs of little-endian longs, begin and end) and, if asked for, the
     remaining bytes as ``text_bytes``.
@@ -448,19 +589,17 @@ def remove_repeats(docs: DataFrame, texts_too: bool = False, chunk: int = CHUNK,
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("data"))
     chunks = written(rows.mapInArrow(_pack(chunk), "chunk long, blob binary"), "parse-chunks")
-    n = chunks.count()
-    if not n:
-        return rows.limit(0).mapInArrow(_remove(8, texts_too), _REMOVED)
     # Buckets grow with the chunks, so that what meets in one stays as large.
-    bits = int(min(20, max(8, np.ceil(np.log2(max(1, n))))))
+    bits = int(min(20, max(8, np.ceil(np.log2(max(1, chunks.count()))))))
     deal = lambda df: df.repartition("bucket", "kind").sortWithinPartitions("bucket", "kind", "chunk")
-    triggers = deal(chunks.mapInArrow(_triggers(bits), _MESSAGE_SQL)).mapInArrow(_by_bucket(_meet_triggers(hot)), _MESSAGE_SQL)
-    told = written(triggers, "parse-triggers")
+    entries = deal(chunks.mapInArrow(_tell(bits, here), _MESSAGE_SQL)).mapInArrow(_by_bucket(_meet_entries(hot)), _MESSAGE_SQL)
+    told = written(entries, "parse-entries")
 
-    def beside(messages: DataFrame) -> DataFrame:
-        per = messages.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kind", "blob")).alias("messages"))
-        return chunks.join(per, "chunk", "left").select("chunk", "blob", "messages")
+    def per_chunk(messages: DataFrame, name: str) -> DataFrame:
+        return messages.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kind", "blob")).alias(name))
 
-    asked = deal(beside(told).mapInArrow(_ask(bits), _MESSAGE_SQL)).mapInArrow(_by_bucket(_meet_contexts), _MESSAGE_SQL)
+    beside = chunks.join(per_chunk(told, "told"), "chunk", "left").select("chunk", "blob", "told")
+    asked = deal(beside.mapInArrow(_ask(bits, here), _MESSAGE_SQL)).mapInArrow(_by_bucket(_meet_contexts), _MESSAGE_SQL)
     answers = written(asked, "parse-contexts")
-    return beside(told.unionByName(answers)).mapInArrow(_remove(bits, texts_too), _REMOVED)
+    every = beside.join(per_chunk(answers, "answers"), "chunk", "left").select("chunk", "blob", "told", "answers")
+    return every.mapInArrow(_remove(bits, here, texts_too), _REMOVED)

@@ -196,10 +196,11 @@ def repeat_rows(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize(("chunk", "hot"), [(4 << 20, 64), (600, 64), (300, 2), (300, 4)])
-def test_repeats_equal_plain_ones(spark, chunk, hot):
+@pytest.mark.parametrize(("chunk", "here", "hot", "block"), [(2 << 20, 32, 4096, 1 << 20), (600, 32, 4096, 1 << 20), (300, 2, 4096, 1 << 20), (900, 3, 4, 130), (300, 32, 2, 1 << 20)])
+def test_repeats_equal_plain_ones(spark, monkeypatch, chunk, here, hot, block):
+    monkeypatch.setattr(repeats, "BLOCK", block)
     rows = repeat_rows(5)
-    got = repeats.remove_repeats(frame(spark, rows), chunk=chunk, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    got = repeats.remove_repeats(frame(spark, rows), chunk=chunk, here=here, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, plain_repeats(rows)))
     assert sum(r.n_removed for r in got) > 1000
 
