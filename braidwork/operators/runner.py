@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.graph import Compiled
 from ..sources.tables import written
-from .schema import FORMAT_VERSION, GROUPS_DDL, Position, ident, invocations_ddl, public_invocations, runs_ddl, valid_name
-from .superstep import RUN, SUPERSTEP, Engine, Options
+from .schema import FORMAT_VERSION, GROUPS_DDL, Position, public_invocations, runs_ddl, valid_name
+from .superstep import SUPERSTEP, Engine, Options, by_run
 
 
 @dataclass
@@ -70,7 +71,7 @@ class Runner:
         """Ready rows in numeric order, beginning after the saved cursor."""
         cursor = pos.runs.select("run_id", "schedule_cursor")
         rows = pos.invocations.join(cursor, "run_id")
-        turn = F.row_number().over(RUN.orderBy(F.col("num") <= F.col("schedule_cursor"), "num"))
+        turn = F.row_number().over(by_run().orderBy(F.col("num") <= F.col("schedule_cursor"), "num"))
         return Position(pos.runs, rows.withColumn("seq", F.when(F.col("status") == "ready", turn.cast("bigint")).otherwise(F.col("seq") % SUPERSTEP)).drop("schedule_cursor"), pos.groups)
 
     def _finish(self, pos: Position, live: DataFrame) -> Result:
@@ -81,7 +82,9 @@ class Runner:
             "run_id", status_of(F.col("completed"), F.col("failure").isNotNull(), F.col("had_local_failures"), F.col("stop")).alias("status"), "revision", "steps", "next_id", "final", "failure",
             F.when(F.col("stop").isin("max_steps", "max_invocations"), F.col("stop")).alias("budget_reason"), F.when(F.col("stop").isin("illegal", "decode", "invalid_input"), F.coalesce("message", "stop")).alias("error"), "had_local_failures", "completed",
         )
-        return Result(Position(live.select(pos.runs.columns), pos.invocations, pos.groups), calls)
+        over = live.where("completed").select("run_id")  # a completed run keeps no rows
+        left = [t.join(over, "run_id", "left_anti").select(t.columns) for t in (pos.invocations, pos.groups)]
+        return Result(Position(live.select(pos.runs.columns), *left), calls)
 
     # --- calls ----------------------------------------------------------------
 
@@ -105,17 +108,15 @@ class Runner:
             stop = F.when(~F.col("valid"), F.lit("invalid_input")).when(~F.col("ok"), F.lit("decode"))
             live = written(live.join(verdict, "run_id", "left").withColumn("stop", F.when(~F.col("completed"), stop)).drop("valid", "ok"), "inputs-live")
             good = live.where("stop is null and not completed").select("run_id")
-            tasks = written(self._apply(engine, pos, decoded.join(good, "run_id", "left_semi")), "inputs-tasks")
-            moved = tasks.select("run_id").distinct()
-            rest = live.join(moved, "run_id", "left_anti")
-            pos, stepped = engine.commit(pos, live.join(moved, "run_id", "left_semi"), tasks)
-            live = written(stepped.unionByName(rest), "inputs-all")
+            tasks = engine.outcomes(pos, live.where("not completed and stop is null"), self._apply(engine, pos, decoded.join(good, "run_id", "left_semi")))
+            if tasks is not None:
+                pos, live = engine.commit(pos, live, tasks)
         return self._finish(*engine.drive(pos, live))
 
     def decoded(self, pos: Position, inputs: DataFrame) -> DataFrame:
         """Each input with its waiting row (``valid``) and whether it decodes (``ok``)."""
         waiting = pos.invocations.where("status = 'waiting'").select("run_id", F.concat(F.lit("i"), F.col("num")).alias("invocation_id"), F.concat(F.lit("c"), F.col("call")).alias("call_id"), "num", "node", "state", "continuation", F.col("next").alias("targets"), "group_num", "group_join", "path")
-        several = F.count(F.lit(1)).over(RUN.partitionBy("run_id", "invocation_id"))
+        several = F.count(F.lit(1)).over(Window.partitionBy("run_id", "invocation_id"))
         rows = inputs.withColumn("several", several).join(waiting, ["run_id", "invocation_id", "call_id"], "left")
         rows = rows.withColumn("valid", F.col("num").isNotNull() & (F.col("several") == 1))
         ok = F.lit(False)
@@ -162,4 +163,4 @@ class Runner:
         return rows.select("run_id", F.col("id").alias("invocation_id"), "call_id", "node", "continuation")
 
 
-__all__ = ["Result", "Runner", "ident", "invocations_ddl", "status_of"]
+__all__ = ["Result", "Runner", "status_of"]

@@ -10,6 +10,8 @@ short and a lost executor costs the tasks of one step.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,12 +20,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.outcomes import RESOLVED, Outcomes
-from ..plans.graph import SCOPES, Compiled
+from ..plans.graph import SCOPES, Compiled, JoinSpec
 from ..sources.tables import written
 from .pynodes import evaluate_python
 from .schema import DEADLINE, FAILURE, Position
 
-RUN = Window.partitionBy("run_id")
+
+def by_run():
+    """A run at a time."""
+    return Window.partitionBy("run_id")
+
+
 SUPERSTEP = 1 << 40  # room for the order within a superstep
 
 
@@ -95,8 +102,7 @@ class Engine:
         cut = F.when((F.col("quorum") > 0) & (F.col("n_joined") >= F.col("quorum")), F.try_element_at(ok, F.col("quorum")))
         for name, join in g.joins.items():
             if join.can_merge is not None:
-                met = F.filter(order, lambda s, j=join: j.can_merge(F.col("parent_state"), self._view(F.col("branches"), s)))
-                cut = F.when(F.col("join_node") == name, F.try_element_at(met, F.lit(1))).otherwise(cut)
+                cut = F.when(F.col("join_node") == name, F.try_element_at(F.filter(order, self._met(join)), F.lit(1))).otherwise(cut)
         rows = rows.withColumn("cut", cut.cast("bigint")).withColumn("full", full).where("full or cut is not null")
         view = F.when(F.col("cut").isNotNull(), self._view(F.col("branches"), F.col("cut"))).otherwise(F.col("branches"))
         # Only successful branches show their state to a merge.
@@ -117,6 +123,14 @@ class Engine:
             F.col("parent_join").alias("group_join"), F.col("num").alias("gone"), self._scope(F.col("join_node"), g.joins).alias("scope"), outcome.cast(self.out.type).alias("o"),
         )
 
+    def _met(self, join: JoinSpec) -> Callable[[Column], Column]:
+        """Whether the join's predicate held after the commit ``last``."""
+
+        def met(last: Column) -> Column:
+            return join.can_merge(F.col("parent_state"), self._view(F.col("branches"), last))
+
+        return met
+
     @staticmethod
     def _view(branches: Column, last: Column) -> Column:
         """Branches as they stood after the commit ``last``: later ones are pending."""
@@ -126,7 +140,7 @@ class Engine:
         """Tasks of the ready nodes that the step budget still admits."""
         g = self.graph
         rows = pos.invocations.where("status = 'ready'").join(live.select("run_id", "left", "steps"), "run_id")
-        rows = rows.withColumn("turn", F.row_number().over(RUN.orderBy("seq", "num")).cast("bigint")).where("turn <= left")
+        rows = rows.withColumn("turn", F.row_number().over(by_run().orderBy("seq", "num")).cast("bigint")).where("turn <= left")
         call = F.struct("run_id", F.concat(F.lit("i"), F.col("num")).alias("invocation_id"), F.concat(F.lit("c"), F.col("call")).alias("call_id"), "node", (F.col("steps") + F.col("turn")).alias("step"), "branch_index")
         rows = rows.withColumn("call_info", call)
         none = F.lit(None).cast(self.out.type)
@@ -198,7 +212,7 @@ class Engine:
 
     def admitted(self, pos: Position, live: DataFrame, tasks: DataFrame) -> DataFrame:
         """Tasks in their run's order, with what is accepted and ids begun."""
-        rows = tasks.withColumn("ord", F.row_number().over(RUN.orderBy("phase", "turn")))
+        rows = tasks.withColumn("ord", F.row_number().over(by_run().orderBy("phase", "turn")))
         rows = rows.withColumn("killed", F.lit(False))
         if self.removes:
             hits = rows.where("gone > 0 or scope = 'fail_group'").select("run_id", F.col("ord").alias("at"), F.explode(F.array_compact(F.array(F.when(F.col("gone") > 0, F.col("gone")), F.when(F.col("scope") == "fail_group", F.col("group_num"))))).alias("grp"))
@@ -206,7 +220,7 @@ class Engine:
             held = rows.select("run_id", "ord", F.explode("path").alias("grp")).join(hits, ["run_id", "grp"]).where("at < ord").select("run_id", "ord").distinct().withColumn("hit", F.lit(True))
             rows = rows.join(held, ["run_id", "ord"], "left").withColumn("killed", F.coalesce("hit", F.lit(False))).drop("hit")
         live_ids = F.when(F.col("killed"), F.lit(0)).otherwise(F.col("ids"))
-        before = RUN.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+        before = by_run().orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.join(live.select("run_id", "next_id", "superstep"), "run_id").withColumn("first_id", F.col("next_id") + F.coalesce(F.sum(live_ids).over(before), F.lit(0)))
         if self.options.max_invocations:
             size = pos.invocations.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
@@ -220,16 +234,21 @@ class Engine:
             rows = rows.withColumn("over", F.lit(False))
         why = F.when(F.col("illegal").isNotNull(), F.lit("illegal")).when(F.col("over"), F.lit("max_invocations")).when(F.col("o.action") == "interrupt", F.lit("interrupted")).when(F.col("o.action") == "end_execution", F.lit("end_execution")).when(F.col("scope") == "fail_execution", F.lit("fail_execution"))
         rows = rows.withColumn("halt", F.when(~F.col("killed"), why))
-        rows = rows.withColumn("halt_at", F.min(F.when(F.col("halt").isNotNull(), F.col("ord"))).over(RUN))
+        rows = rows.withColumn("halt_at", F.min(F.when(F.col("halt").isNotNull(), F.col("ord"))).over(by_run()))
         ends = F.col("halt").isin("end_execution", "fail_execution")
         ok = ~F.col("killed") & (F.col("halt_at").isNull() | (F.col("ord") < F.col("halt_at")) | ((F.col("ord") == F.col("halt_at")) & ends))
         return rows.withColumn("accepted", F.coalesce(ok, F.lit(False)))
 
     # --- the next position ----------------------------------------------------
 
-    def commit(self, pos: Position, live: DataFrame, tasks: DataFrame) -> tuple[Position, DataFrame]:
-        """The position after the admitted tasks, and ``live`` with its counters."""
+    def outcomes(self, pos: Position, live: DataFrame, tasks: DataFrame) -> DataFrame | None:
+        """The tasks with their effects and verdicts, written; None without any."""
         tasks = written(self.admitted(pos, live, self.effects(tasks)), "step-tasks")
+        return tasks if tasks.limit(1).take(1) else None
+
+    def commit(self, pos: Position, live: DataFrame, tasks: DataFrame) -> tuple[Position, DataFrame]:
+        """The position after ``tasks``, and ``live`` with its counters. Runs
+        without a task stay as they are."""
         done = tasks.where("accepted")
         seq = F.col("superstep") * SUPERSTEP
         has_join = (F.col("join_node") != "").cast("int")
@@ -276,15 +295,16 @@ class Engine:
             F.max_by(failure, F.when(acc & (F.col("halt") == "fail_execution"), F.col("ord"))).alias("d_failure"), F.max_by("num", F.when(acc & (F.col("kind") == "node"), F.col("ord"))).alias("d_cursor"),
             F.min_by("halt", F.when(~acc & F.col("halt").isNotNull() & (F.col("ord") == F.col("halt_at")), F.col("ord"))).alias("d_stop"), F.min_by(F.coalesce("illegal", "o.error"), F.when(~acc & F.col("halt").isNotNull() & (F.col("ord") == F.col("halt_at")), F.col("ord"))).alias("d_message"),
         )
-        run = written(run, "step-runs")
         dead = run.select("run_id", "gone", F.col("d_over").alias("over"))
         every = rows.unionByName(kids.select(rows.columns)).join(dead, "run_id", "left")
         stays = ~F.coalesce("over", F.lit(False)) & ~F.coalesce(F.arrays_overlap("path", "gone"), F.lit(False))
-        invocations = written(every.where(stays).select(pos.invocations.columns), "step-invocations")
+        every = every.where(stays).select(pos.invocations.columns)
         fresh = done.where("is_group").select("run_id", F.col("first_id").alias("num"), F.when(F.col("join_node") != "", F.col("first_id") + 1).alias("call"), F.col("node").alias("source"), F.col("num").alias("parent"), "join_node", "path")
         groups = pos.groups.unionByName(fresh).join(dead, "run_id", "left")
         stays = ~F.coalesce("over", F.lit(False)) & ~F.coalesce(F.arrays_overlap(F.array_append("path", F.col("num")), "gone"), F.lit(False))
-        groups = written(groups.where(stays).select(pos.groups.columns), "step-groups")
+        groups = groups.where(stays).select(pos.groups.columns)
+        with ThreadPoolExecutor(2) as both:  # neither needs the other
+            invocations, groups = both.map(written, (every, groups), ("step-invocations", "step-groups"))
         active = invocations.groupBy("run_id").agg(F.count_if(F.col("status").isin("ready", "waiting", "group")).alias("active"))
         after = live.join(run, "run_id", "left").join(active, "run_id", "left")
         over = F.coalesce("d_over", F.lit(False)) | (F.coalesce("active", F.lit(0)) == 0)
@@ -296,24 +316,16 @@ class Engine:
         return Position(pos.runs, invocations, groups), written(after, "step-live")
 
     def drive(self, pos: Position, live: DataFrame) -> tuple[Position, DataFrame]:
-        """Supersteps until no run has a task left; ``live`` keeps every run.
-
-        A run with a merge due does its merges before its nodes, so a step has
-        either kind for a run.
-        """
+        """Supersteps until no run has a task left; ``live`` keeps every run."""
         while True:
             going = live.where("not completed and stop is null")
             tasks = self.ready(pos, going)
             if self.graph.joins or self._has_groups(pos):
-                merges = self.merges(pos, going)
-                tasks = merges.unionByName(tasks)
-            tasks = written(tasks, "step-outcomes")
-            if not tasks.limit(1).take(1):
+                tasks = self.merges(pos, going).unionByName(tasks)
+            tasks = self.outcomes(pos, going, tasks)
+            if tasks is None:
                 return pos, live
-            moved = tasks.select("run_id").distinct()
-            rest = live.join(moved, "run_id", "left_anti")
-            pos, stepped = self.commit(pos, live.join(moved, "run_id", "left_semi"), tasks)
-            live = written(stepped.unionByName(rest), "step-all")
+            pos, live = self.commit(pos, live, tasks)
 
     @staticmethod
     def _has_groups(pos: Position) -> bool:

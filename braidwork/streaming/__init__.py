@@ -1,0 +1 @@
+"""Answers to waits as streams, and the effect ledger."""
