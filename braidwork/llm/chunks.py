@@ -1,7 +1,8 @@
 """Substring deduplication by content-defined chunking.
 
 A gear rolling hash over the bytes cuts a text where its top bits are zero, so
-an insertion moves only the cuts next to it. Chunks are deduplicated by digest:
+an insertion moves only the cuts next to it. Where that leaves a long gap, as in
+periodic text, fewer bits are asked for. Chunks are deduplicated by digest:
 the one in the document with the smallest id stays, and runs of chunks that an
 earlier document has are repeats.
 """
@@ -20,9 +21,11 @@ from pyspark.sql.window import Window
 from .common import written
 
 #: Bytes of a chunk: at least, at most; a cut falls at one byte in 2**BITS beyond the least.
-LEAST, MOST, BITS = 32, 1024, 5
+LEAST, MOST, BITS = 32, 1024, 4
+#: Bytes without a cut from which on fewer bits do.
+GAP = 96
 #: Bytes of a run of repeated chunks from which on it counts; shorter ones are common phrases.
-RUN = 128
+RUN = 96
 _GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -35,9 +38,23 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def candidates(h: np.ndarray) -> np.ndarray:
+    """Ends of possible chunks of one text with the gear hashes ``h``. The first
+    LEAST bytes have none, so what stands before the text never matters."""
+    own = h[LEAST - 1 :]
+    ends = np.flatnonzero(own >> np.uint32(32 - BITS) == 0) + LEAST
+    for bits in (2, 1):
+        edges = np.concatenate([[0], ends, [len(h)]])
+        wide = np.diff(edges) > GAP
+        if not wide.any():
+            break
+        more = np.flatnonzero(own >> np.uint32(32 - bits) == 0) + LEAST
+        ends = np.union1d(ends, more[wide[np.minimum(np.searchsorted(edges, more) - 1, len(wide) - 1)]])
+    return ends
+
+
 def cut(ends: np.ndarray, begin: int, end: int) -> list[int]:
-    """Cuts of one text from the candidates ``ends``. None lies within the first
-    LEAST bytes, so what stands before the text never matters."""
+    """Cuts of one text from the candidates ``ends``."""
     cuts, last = [], begin
     for c in ends.tolist():
         while c - last > MOST:
@@ -64,12 +81,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = [t.as_py() for t in texts.slice(at, 512)]
             blob = b"".join(part)
             data = np.frombuffer(blob, np.uint8)
-            ends = np.flatnonzero(gear(data) >> np.uint32(32 - BITS) == 0) + 1
+            h = gear(data)
             row, start, size, digest, owner = [], [], [], [], []
             begin = 0
             for k, t in enumerate(part):
                 end = begin + len(t)
-                cuts = cut(ends[np.searchsorted(ends, begin, "right") : np.searchsorted(ends, end, "right")], begin, end)
+                cuts = cut(candidates(h[begin:end]) + begin, begin, end)
                 froms = [begin, *cuts[:-1]]
                 digest += [xxhash.xxh3_64_intdigest(blob[a:b]) for a, b in zip(froms, cuts, strict=False)]
                 start += [a - begin for a in froms[: len(cuts)]]
