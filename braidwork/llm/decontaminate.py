@@ -21,7 +21,12 @@ WINDOW, SHARE = 5, 0.8
 #: Benchmark windows up to this number are broadcast (some 100 bytes each).
 BROADCAST_WINDOWS = 400_000
 
-_TOKEN = r"[a-z\x{80}-\x{10FFFF}]+|[0-9]+(?:[.,][0-9]+)*"
+#: Different words, beside placeholders, that a window needs to tell anything.
+WORDS = 3
+#: Windows in a row (or all, of a shorter item) that make an alignment.
+ALIGNED = 3
+
+_TOKEN = r"[a-z\x{80}-\x{10FFFF}][a-z0-9\x{80}-\x{10FFFF}]*|[0-9]+(?:[.,][0-9]+)*"
 
 # Spelled numbers, units and given names that become placeholders.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split()
@@ -80,20 +85,24 @@ def _coded(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``item, place, window, item_slots, windows`` of each item's windows; an
-    item with fewer words than ``window`` has none. Items equal in id and text
-    are one."""
+    """``item, place, window, item_slots, windows`` of each item's windows that
+    have WORDS different words or no placeholder; an item without such a window
+    (shorter than ``window``, or mere numbers) has none. Items equal in id and
+    text are one."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
     items = items.withColumn("item", F.struct("item_id", F.xxhash64("text").alias("hash")))
-    coded = _coded(items, ["item"]).withColumn("windows", F.size("codes") - window + 1).where("windows > 0")
-    return _windows(coded, ["item", "windows"], window).select("item", F.col("at").alias("place"), "window", F.col("slots").alias("item_slots"), "windows")
+    coded = _coded(items, ["item"])
+    words = F.size(F.array_distinct(F.filter(F.slice("codes", F.col("at"), window), lambda c: ~c.between(_NUMBER, _NAME))))
+    rows = _windows(coded, ["item", "codes"], window).where((F.size("slots") == 0) | (words >= WORDS))
+    rows = rows.select("item", F.col("at").alias("place"), "window", F.col("slots").alias("item_slots"))
+    return rows.join(rows.groupBy("item").agg(F.count(F.lit(1)).alias("windows")), "item")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """``keys, item, matched, windows`` of documents that hold an item.
 
     ``matched`` counts the item's windows that the document has on alignments
-    with consistent slots; a row needs ``share`` of them. Rows that agree in
+    of ALIGNED windows or more with consistent slots; a row needs ``share`` of them. Rows that agree in
     ``keys`` are one document, so the keys should tell texts apart.
     """
     bench = written(item_windows(benchmark, window), "leak-items")
@@ -106,7 +115,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int
     pairs = found.where("pairs is not null").select(*keys, "item", "shift", F.explode("pairs").alias("p")).distinct()
     mixed = pairs.groupBy(*keys, "item", "shift").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p.slots").alias("a"), F.countDistinct("p.item_slots").alias("b")).where("n > a or n > b")
     sound = found.alias("f").join(mixed.alias("x"), same, "left_anti")
-    out = sound.groupBy(*keys, "item").agg(F.countDistinct("place").alias("matched"), F.first("windows").alias("windows"))
+    aligned = sound.groupBy(*keys, "item", "shift").agg(F.collect_set("place").alias("places"), F.first("windows").alias("windows"))
+    aligned = aligned.where(F.size("places") >= F.least(F.lit(ALIGNED), F.col("windows")))
+    out = aligned.select(*keys, "item", "windows", F.explode("places").alias("place")).groupBy(*keys, "item").agg(F.countDistinct("place").alias("matched"), F.first("windows").alias("windows"))
     return out.where(F.col("matched") >= F.col("windows") * F.lit(share))
 
 
