@@ -157,7 +157,8 @@ def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
     taken = written(taken.where("_bw_times > 0"), "mix-taken")
     own = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn("_bw_row", row_key(docs)).withColumn("_bw_key", F.struct(F.col("doc_id"), F.col("_bw_row")))
-    found = keyed.join(taken.withColumn("_bw_key", F.struct(F.col("_bw_id").alias("doc_id"), F.col("_bw_row"))).drop("_bw_row", "_bw_id"), "_bw_key")
+    taken = taken.withColumn("_bw_key", F.struct(F.col("_bw_id").alias("doc_id"), F.col("_bw_row"))).drop("_bw_row", "_bw_id")
+    found = keyed.join(taken.hint("merge"), "_bw_key")  # alike at every size: texts move once
     single = found.where("_bw_n = 1")
     if not empty_many(taken):
         single = single.unionByName(found.where("_bw_n > 1").dropDuplicates(["_bw_row"]))

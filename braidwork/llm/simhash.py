@@ -234,7 +234,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = groups(prints, radius).join(own, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._bw_row").alias("_bw_row"))
     counts = prints.groupBy("_bw_row").agg(F.count(F.lit(1)).alias("_bw_n"))
     kept = written(kept.distinct().join(counts, "_bw_row"), "simhash-kept")
-    found = keyed.join(kept, "_bw_row")
+    found = keyed.join(kept.hint("merge"), "_bw_row")  # alike at every size: texts move once
     out = found.where("_bw_n = 1")
     if not empty(kept.where("_bw_n > 1")):
         out = out.unionByName(found.where("_bw_n > 1").dropDuplicates(["_bw_row"]))
