@@ -13,6 +13,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import compress
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,8 @@ VOCABULARY = 6000
 #: Of those, the forms that count as contexts.
 CONTEXTS = 256
 THRESHOLD = 0.3
+#: The form of a word that repeats the one before it.
+SAME = b"\0="
 _SEED = 11
 
 _UPPER = re.compile(rb"[A-Z]+")
@@ -45,8 +49,33 @@ def form(word: bytes) -> bytes:
 
 
 def kinds(text: str | None) -> list[bytes]:
-    """Each word of the whole text, as its form and as it is."""
-    return [k for words in word_blocks(text) for w in words for k in (form(w), w)]
+    """Each word of the whole text, as its form and as it is. A word like the
+    one before it has the form SAME."""
+    out, last = [], None
+    for words in word_blocks(text):
+        for w in words:
+            out.append(SAME if w == last else form(w))
+            out.append(w)
+            last = w
+    return out
+
+
+def counted(text: str | None) -> Counter[bytes]:
+    """The same kinds, counted."""
+    words: Counter[bytes] = Counter()
+    same: Counter[bytes] = Counter()
+    last: list[bytes] = []
+    for block in word_blocks(text):
+        words.update(block)
+        before = last + block
+        same.update(compress(before[1:], map(eq, before[1:], before)))
+        last = block[-1:]
+    counts: Counter[bytes] = Counter()
+    for word, c in words.items():
+        counts[form(word)] += c - same.get(word, 0)
+    counts[SAME] = sum(same.values())
+    counts.update(words)
+    return counts
 
 
 def index_vector(kind: bytes) -> np.ndarray:
@@ -72,13 +101,7 @@ class Model:
     temperature: float
 
     def pool(self, text: str | None, cache: dict[bytes, np.ndarray]) -> np.ndarray:
-        words: Counter[bytes] = Counter()
-        for block in word_blocks(text):
-            words.update(block)
-        counts: Counter[bytes] = Counter()
-        for word, c in words.items():
-            counts[form(word)] += c
-        counts.update(words)
+        counts = counted(text)
         total, n, known, times = np.zeros(DIM, np.float64), 0, [], []
         for kind, c in counts.items():
             n += c
@@ -167,11 +190,13 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 60) -> Model:
                 q -= 0.01 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
     model.w1, model.b1, model.w2, model.b2 = p[0], p[1], p[2], float(p[3][0])
     if len(held):
-        raw = model.logits(x[held])
+        raw, ones = model.logits(x[held]), float(y[held].sum())
+        # Smoothed labels, so that a part without errors does not ask for certainty.
+        goal = np.where(y[held] == 1, (ones + 1) / (ones + 2), 1 / (len(held) - ones + 2))
 
         def loss(temperature: float) -> float:
             s = raw / temperature
-            return float(np.mean(np.logaddexp(0, s) - y[held] * s))
+            return float(np.mean(np.logaddexp(0, s) - goal * s))
 
         model.temperature = float(min(np.geomspace(0.25, 16, 49), key=lambda k: (loss(k), k)))
     return model
