@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..plans.graph import Compiled
 from ..sources.tables import written
 from .schema import FORMAT_VERSION, GROUPS_DDL, Position, public_invocations, runs_ddl, valid_name
-from .superstep import SUPERSTEP, Engine, Options, by_run
+from .superstep import SUPERSTEP, Engine, Options
 
 
 @dataclass
@@ -71,7 +71,8 @@ class Runner:
         """Ready rows in numeric order, beginning after the saved cursor."""
         cursor = pos.runs.select("run_id", "schedule_cursor")
         rows = pos.invocations.join(cursor, "run_id")
-        turn = F.row_number().over(by_run().orderBy(F.col("num") <= F.col("schedule_cursor"), "num"))
+        ready = Window.partitionBy("run_id", F.col("status") == "ready")
+        turn = F.row_number().over(ready.orderBy(F.col("num") <= F.col("schedule_cursor"), "num"))
         return Position(pos.runs, rows.withColumn("seq", F.when(F.col("status") == "ready", turn.cast("bigint")).otherwise(F.col("seq") % SUPERSTEP)).drop("schedule_cursor"), pos.groups)
 
     def _finish(self, pos: Position, live: DataFrame) -> Result:
@@ -91,7 +92,7 @@ class Runner:
     def start(self, runs: DataFrame, options: Options | None = None) -> Result:
         options = options or Options()
         pos = self.new(runs)
-        return self._finish(*Engine(self.graph, self.state, options).drive(pos, self._live(pos, options)))
+        return self._finish(*Engine(self.graph, self.state, options).drive(pos, self._live(pos, options), new=True))
 
     def advance(self, pos: Position, inputs: DataFrame | None = None, options: Options | None = None) -> Result:
         """Answer waits (``inputs``: run_id, ordinal, invocation_id, call_id,

@@ -315,17 +315,21 @@ class Engine:
         )
         return Position(pos.runs, invocations, groups), written(after, "step-live")
 
-    def drive(self, pos: Position, live: DataFrame) -> tuple[Position, DataFrame]:
-        """Supersteps until no run has a task left; ``live`` keeps every run."""
+    def drive(self, pos: Position, live: DataFrame, new: bool = False) -> tuple[Position, DataFrame]:
+        """Supersteps until no run has a task left; ``live`` keeps every run. A
+        ``new`` position has no groups yet."""
         while True:
             going = live.where("not completed and stop is null")
+            if not new and not going.limit(1).take(1):
+                return pos, live
             tasks = self.ready(pos, going)
-            if self.graph.joins or self._has_groups(pos):
+            if not new and (self.graph.joins or self._has_groups(pos)):
                 tasks = self.merges(pos, going).unionByName(tasks)
             tasks = self.outcomes(pos, going, tasks)
             if tasks is None:
                 return pos, live
             pos, live = self.commit(pos, live, tasks)
+            new = False
 
     @staticmethod
     def _has_groups(pos: Position) -> bool:

@@ -1,5 +1,5 @@
 """Graph definitions: built and compiled on the driver, never as DataFrames."""
 
-from .graph import ENDED, Compiled, Graph, GraphError, JoinSpec, NodeSpec
+from .graph import ENDED, Compiled, Graph, GraphError, JoinSpec, NodeSpec, fingerprint
 
-__all__ = ["ENDED", "Compiled", "Graph", "GraphError", "JoinSpec", "NodeSpec"]
+__all__ = ["ENDED", "Compiled", "Graph", "GraphError", "JoinSpec", "NodeSpec", "fingerprint"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,6 +19,12 @@ class GraphError(ValueError):
     pass
 
 
+def fingerprint(config: object) -> str:
+    """A definition id from a configuration: SHA-256 of its canonical JSON."""
+    text = json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def valid_name(name: object) -> bool:
     """Not empty and without white space around it."""
     return isinstance(name, str) and name != "" and name == name.strip()

@@ -77,12 +77,21 @@ def test_predicate_and_unmet_quorum(spark):
     assert (call.final.v, call.status) == (150, "completed_with_failures")
 
 
-@pytest.mark.parametrize("width", [0, 1, 2, 8, 32])
-def test_dynamic_width(spark, width):
-    g = fan(lambda o, s, c: o.complete_branch(s), JoinSpec("j", "go", ok_sum), list(range(1, width + 1)))
-    call = start(spark, g, [0])[2]["r0"]
-    assert call.final.v == width * (width + 1) // 2
-    assert (call.steps, call.revision, call.next_id) == (width + 2, width + 4, 6 + 2 * width)
+def test_dynamic_widths(spark):
+    """Any number of children; none and one still go through the merge."""
+
+    def begin(o, s, c):
+        kids = F.transform(F.sequence(F.lit(1).cast("bigint"), s["v"]), lambda i: o.to_branch("line", val(i)))
+        return o.fan_out(s, F.when(s["v"] > 0, kids).otherwise(F.array().cast(f"array<{o.branch}>")))
+
+    g = Graph("go").add_node(NodeSpec("go", begin)).add_node(NodeSpec("line", lambda o, s, c: o.complete_branch(s))).add_node(NodeSpec("done", end))
+    g.add_join(JoinSpec("j", "go", ok_sum)).add_edge("go", "line").add_edge("j", "done")
+    widths = [0, 1, 2, 8, 32, 128]
+    calls = start(spark, g, widths)[2]
+    for k, n in enumerate(widths):
+        call = calls[f"r{k}"]
+        assert call.final.v == n + n * (n + 1) // 2
+        assert (call.steps, call.revision, call.next_id) == (n + 2, n + 4, 6 + 2 * n)
 
 
 def test_group_failure_removes_the_group(spark):

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from braidwork.plans import Graph, GraphError, JoinSpec, NodeSpec
+from braidwork.plans import Graph, GraphError, JoinSpec, NodeSpec, fingerprint
 
 
 def node(name, **k):
@@ -62,3 +62,7 @@ def test_flatten_and_mermaid():
     two = Graph("m").add_subgraph("m", inner).add_node(node("z")).add_node(node("w")).add_edge("m", "z").add_edge("m", "w")
     with pytest.raises(GraphError):
         two.compile("d")
+
+
+def test_fingerprint_does_not_depend_on_order():
+    assert fingerprint({"a": 1, "b": [1, 2]}) == fingerprint({"b": [1, 2], "a": 1}) != fingerprint({"b": [2, 1], "a": 1})
