@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import written
 
@@ -115,9 +116,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int
     pairs = found.where("pairs is not null").select(*keys, "item", "shift", F.explode("pairs").alias("p")).distinct()
     mixed = pairs.groupBy(*keys, "item", "shift").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p.slots").alias("a"), F.countDistinct("p.item_slots").alias("b")).where("n > a or n > b")
     sound = found.alias("f").join(mixed.alias("x"), same, "left_anti")
-    aligned = sound.groupBy(*keys, "item", "shift").agg(F.collect_set("place").alias("places"), F.first("windows").alias("windows"))
-    aligned = aligned.where(F.size("places") >= F.least(F.lit(ALIGNED), F.col("windows")))
-    out = aligned.select(*keys, "item", "windows", F.explode("places").alias("place")).groupBy(*keys, "item").agg(F.countDistinct("place").alias("matched"), F.first("windows").alias("windows"))
+    # Rows are distinct, so a count is the alignment's number of windows.
+    aligned = sound.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "item", "shift")))
+    aligned = aligned.where(F.col("n") >= F.least(F.lit(ALIGNED), F.col("windows")))
+    out = aligned.groupBy(*keys, "item").agg(F.countDistinct("place").alias("matched"), F.first("windows").alias("windows"))
     return out.where(F.col("matched") >= F.col("windows") * F.lit(share))
 
 
