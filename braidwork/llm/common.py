@@ -1,52 +1,19 @@
-"""Shared helpers: written intermediate tables, word splitting, components."""
+"""Shared helpers: word splitting, row keys, components."""
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir, written
+
 #: Fixed value: what a word is wherever sizes or shingles are counted.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_local_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only a session on a local master may leave it unset; such a session gets a
-    temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="braidwork-")
-    return _local_dirs[app]
-
-
-def written(df: DataFrame, label: str, spark: SparkSession | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    It cuts the lineage: a lost executor costs no more than the tasks that read
-    the table. The file system deletes the table when the application ends.
-    """
-    spark = spark or df.sparkSession
-    path = os.path.join(shared_dir(spark), f"braidwork-{spark.sparkContext.applicationId}", f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["WORD", "components", "empty", "row_key", "shared_dir", "word_blocks", "written"]
 
 
 def empty(df: DataFrame) -> bool:
