@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,8 +40,12 @@ IDENTIFIERS = (
 _SENSITIVE = re.compile("|".join(re.escape(w) for w in SENSITIVE), re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
-#: Characters after a sensitive word in which a candidate may begin, and around a candidate that prime the compressor.
-REACH, AROUND = 64, 512
+#: Characters around a candidate that prime the compressor.
+AROUND = 512
+#: Characters after a sensitive word in which a candidate may begin.
+REACH = 64
+#: Letters of one case that make a repeated candidate a name.
+_NAME = re.compile(r"[a-z]{16,}|[A-Z]{16,}")
 #: Bytes added for each character of a candidate; base64 of random bytes adds 0.75 and more, hex 0.5 and more.
 NOVELTY = 0.45
 
@@ -65,24 +70,73 @@ def novelty(before: str, candidate: str, after: str) -> float:
     return (len(coder.compress((tail + candidate).encode("utf-8", "replace"))) - len(coder.compress(tail.encode("utf-8", "replace")))) / len(candidate)
 
 
+def _without(text: str, core: str, cut_left: bool, cut_right: bool) -> str:
+    """``text`` without copies of ``core``, whole or cut off at an end that is cut."""
+    left = text.replace(core, " ")
+    left = left[len(core) - 1 :] if cut_left else left
+    return left[: len(left) - len(core) + 1] if cut_right else left
+
+
+def _candidates(text: str, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of key characters, divided at the sensitive words inside them."""
+    starts = [a for a, _ in words]
+    for m in _CANDIDATE.finditer(text):
+        at = m.start()
+        for k in range(max(0, bisect_left(starts, at) - 1), len(words)):
+            a, b = words[k]
+            if a >= m.end():
+                break
+            if b > at:
+                if a - at >= 16:
+                    yield at, a
+                at = b
+        if m.end() - at >= 16:
+            yield at, m.end()
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], least: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """Candidates in a sensitive context that no fixed pattern touches."""
+    """Candidates in a sensitive context that no fixed pattern touches, and
+    every further occurrence of what they hold.
+
+    A context is AROUND characters before and after a sensitive word, and goes
+    on through candidates that only a joint divides. Copies of the candidate do
+    not prime the compressor.
+    """
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
-    found, seen = [], 0
-    for word in _SENSITIVE.finditer(text):
-        at = max(seen, word.end())
-        while start := _CANDIDATE.search(text, at, min(len(text), word.end() + REACH + 16)):
-            m = _CANDIDATE.match(text, start.start())  # the whole run, however long
-            at = seen = m.end()
-            body = m[0]
-            if any(a < m.end() and m.start() < b for a, _, b in taken):
-                continue
-            if not (_DIGIT.search(body) and _LETTER.search(body)):
-                continue
-            if novelty(text[max(0, m.start() - AROUND) : m.start()], body, text[m.end() : m.end() + AROUND]) >= least:
-                found.append((m.start(), 3, m.end()))
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    ends = [b for _, b in words]
+    found, cores = [], {}
+    for a, b in _candidates(text, words):
+        k = bisect_right(ends, a) - 1
+        if not (k >= 0 and a - ends[k] <= REACH):
+            continue
+        body = text[a:b]
+        if any(x < b and a < y for x, _, y in taken):
+            continue
+        if not (_DIGIT.search(body) and _LETTER.search(body)):
+            continue
+        core = body.strip("=_-+/") or body
+        lo, hi = max(0, a - AROUND - len(core)), min(len(text), b + AROUND + len(core))
+        before, after = text[lo:a], text[b:hi]
+        if _NAME.search(core) and (core in before or core in after):
+            before, after = before[-AROUND:], after[:AROUND]
+        else:
+            before, after = _without(before, core, lo > 0, False), _without(after, core, False, hi < len(text))
+        if core in cores or novelty(before, body, after) >= least:
+            found.append((a, 3, b))
+            cores[core] = None
+    held = sorted((a, b) for a, _, b in [*taken, *found])
+    for core in cores:
+        at = text.find(core)
+        while len(core) >= 16 and at >= 0:
+            end = at + len(core)
+            k = bisect_left(held, (end, 0))
+            if not any(x < end and at < y for x, y in held[max(0, k - 8) : k]):
+                found.append((at, 3, end))
+                insort(held, (at, end))
+            at = text.find(core, end)
     return found
 
 

@@ -144,6 +144,22 @@ def test_secret_spans(spark):
     assert secretscan.scan(frame(spark, [])).count() == 0
 
 
+def random_key(rng, n):
+    return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+
+def novel(text):
+    return [text[a:b] for a, k, b in sorted(secretscan.novel_spans(text, secretscan.base_spans(text)))]
+
+
+def test_repeated_secrets_are_novel_at_each_place():
+    rng = random.Random(14)
+    for n in (24, 40, 64):
+        key = random_key(rng, n - 2) + "a7"
+        assert novel(f"the passphrase {key} is set\nagain the passphrase {key} is used") == [key, key]
+        assert novel(f"the passphrase {key} is set" + " and so on" * 200 + f" {key}") == [key, key]
+
+
 def plain_base(text):
     out = []
     for k, pattern, least in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12), ("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16)):
