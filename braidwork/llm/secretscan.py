@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and strings that a primed compressor finds new.
 
-A candidate stands after a sensitive word. Zstandard, primed with a dictionary
+A candidate stands near a sensitive word or goes on from one that does. Zstandard, primed with a dictionary
 of identifiers and with the text around the candidate, compresses that text
 with and without it; the bytes the candidate adds, over its length, are its
 novelty. Names, paths and words found nearby add little; key material adds
@@ -40,10 +40,10 @@ IDENTIFIERS = (
 _SENSITIVE = re.compile("|".join(re.escape(w) for w in SENSITIVE), re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
-#: Characters around a candidate that prime the compressor.
+#: Characters before and after a sensitive word that are its context, and around a candidate that prime the compressor.
 AROUND = 512
-#: Characters after a sensitive word in which a candidate may begin.
-REACH = 64
+#: What may stand between lines of one key.
+_JOINT = re.compile(r"""[\s"'\\nr,;>|#*.]{1,32}""")
 #: Letters of one case that make a repeated candidate a name.
 _NAME = re.compile(r"[a-z]{16,}|[A-Z]{16,}")
 #: Bytes added for each character of a candidate; base64 of random bytes adds 0.75 and more, hex 0.5 and more.
@@ -106,16 +106,18 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], least: float = NOV
     if not any(w in low for w in SENSITIVE):
         return []
     words = [m.span() for m in _SENSITIVE.finditer(text)]
-    ends = [b for _, b in words]
-    found, cores = [], {}
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    found, cores, last, was_novel = [], {}, -1, False
     for a, b in _candidates(text, words):
-        k = bisect_right(ends, a) - 1
-        if not (k >= 0 and a - ends[k] <= REACH):
+        k, n = bisect_right(ends, a) - 1, bisect_left(starts, b)
+        joined = last >= 0 and bool(_JOINT.fullmatch(text, last, a))
+        if not (joined or (k >= 0 and a - ends[k] <= AROUND) or (n < len(words) and starts[n] - b <= AROUND)):
             continue
+        last, goes_on, was_novel = b, joined and was_novel, False
         body = text[a:b]
         if any(x < b and a < y for x, _, y in taken):
             continue
-        if not (_DIGIT.search(body) and _LETTER.search(body)):
+        if not goes_on and not (_DIGIT.search(body) and _LETTER.search(body)):
             continue
         core = body.strip("=_-+/") or body
         lo, hi = max(0, a - AROUND - len(core)), min(len(text), b + AROUND + len(core))
@@ -127,6 +129,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], least: float = NOV
         if core in cores or novelty(before, body, after) >= least:
             found.append((a, 3, b))
             cores[core] = None
+            was_novel = True
     held = sorted((a, b) for a, _, b in [*taken, *found])
     for core in cores:
         at = text.find(core)

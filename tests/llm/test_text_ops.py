@@ -160,6 +160,15 @@ def test_repeated_secrets_are_novel_at_each_place():
         assert novel(f"the passphrase {key} is set" + " and so on" * 200 + f" {key}") == [key, key]
 
 
+def test_secrets_of_a_whole_context():
+    rng = random.Random(15)
+    lines = [random_key(rng, 62) + "b5" for _ in range(30)]
+    assert novel("-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----") == lines
+    key = random_key(rng, 38) + "c3"
+    assert novel(f"{key} is the access key") == [key]
+    assert novel("the access key" + " which some comment explains" * 8 + f" {key}") == [key]
+
+
 def plain_base(text):
     out = []
     for k, pattern, least in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12), ("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16)):
