@@ -74,6 +74,14 @@ def fit(lengths: list[int], counts: list[int], budget: int, last: int = LAST_WOR
             rest -= more * lengths[k]
     if rest <= 0:
         return take
+    if rest > 2 * last:  # what is free is longer than rest - last // 2 each, so at most one fits
+        fits = [k for k in range(len(lengths)) if 0 < lengths[k] <= rest and take[k] < counts[k]]
+        if fits:
+            k = max(fits, key=lambda k: lengths[k])
+            take[k] += 1
+            rest -= lengths[k]
+        if rest <= 0:
+            return take
     rest_cap = min(rest, 2 * last)
     via, items = np.full(rest_cap + 1, -1, np.int64), []
     via[0] = 0

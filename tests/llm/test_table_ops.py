@@ -86,6 +86,12 @@ def test_fit_is_the_best_subset_sum():
     assert sum(a * b for a, b in zip(range(1, 3000), big)) == 2_000_000_123
 
 
+def test_fit_takes_a_long_document_that_fits():
+    for lengths, budget, want in [([90_000, 90_001, 90_002], 100_000, 90_002), ([400_000, 410_000, 420_000, 1000], 415_000, 411_000), ([100_000], 100_000, 100_000)]:
+        take = mixing.fit(lengths, [1] * len(lengths), budget)
+        assert sum(a * b for a, b in zip(lengths, take)) == want
+
+
 def test_targets_with_equal_ratios(spark):
     sizes = {"a": 100, "b": 40, "c": 20, "d": 100, "e": 0}
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
