@@ -27,7 +27,12 @@ WORDS = 3
 #: Windows in a row (or all, of a shorter item) that make an alignment.
 ALIGNED = 3
 
-_TOKEN = r"[a-z\x{80}-\x{10FFFF}][a-z0-9\x{80}-\x{10FFFF}]*|[0-9]+(?:[.,][0-9]+)*"
+#: Tokens of an item that is shorter than a window, at least.
+SHORT = 3
+
+#: Scripts without spaces (Thai to Myanmar, Khmer, kana, ideographs): each character is a word.
+_SINGLE = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+_TOKEN = rf"[{_SINGLE}]|[a-z\x{{80}}-\x{{10FFFF}}&&[^{_SINGLE}]][a-z0-9\x{{80}}-\x{{10FFFF}}&&[^{_SINGLE}]]*|[0-9]+(?:[.,][0-9]+)*"
 
 # Spelled numbers, units and given names that become placeholders.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split()
@@ -68,35 +73,44 @@ def _slots(words: Column, codes: Column) -> Column:
     return F.zip_with(words, codes, lambda w, c: F.when(c.between(_NUMBER, _NAME), w))
 
 
-def _windows(df: DataFrame, keep: list[str], size: int) -> DataFrame:
-    """``keep`` and ``at, window, slots`` for each window of ``size`` codes."""
+def _windows(df: DataFrame, keep: list[str], size: int, whole: int = WINDOW) -> DataFrame:
+    """``keep`` and ``at, window, slots, exact`` for each window of ``size``
+    codes. One without WORDS different words beside placeholders, or of less
+    than ``whole`` codes, stands for its very tokens: ``exact``, without slots."""
     n = F.size("codes")
 
     def one(i: Column) -> Column:
-        return F.struct(i.alias("at"), F.xxhash64(F.lit(size), F.slice("codes", i, size)).alias("window"), F.array_compact(F.slice("values", i, size)).alias("slots"))
+        codes, slots = F.slice("codes", i, size), F.array_compact(F.slice("values", i, size))
+        words = F.size(F.array_distinct(F.filter(codes, lambda c: ~c.between(_NUMBER, _NAME))))
+        return F.struct(i.alias("at"), codes.alias("codes"), slots.alias("slots"), ((F.size(slots) > 0) & (words < WORDS) if whole == size else F.lit(True)).alias("exact"), F.slice("words", i, size).alias("words"))
 
     starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-    return df.select(*keep, F.explode(F.transform(starts, one)).alias("w")).select(*keep, "w.at", "w.window", "w.slots")
+    rows = df.select(*keep, F.explode(F.transform(starts, one)).alias("w")).select(*keep, "w.*")
+    window = F.when(F.col("exact"), F.xxhash64(F.lit(size), F.lit("exact"), "words")).otherwise(F.xxhash64(F.lit(size), "codes"))
+    return rows.select(*keep, "at", window.alias("window"), F.when(~F.col("exact"), F.col("slots")).otherwise(F.array().cast("array<string>")).alias("slots"), "exact")
 
 
 def _coded(df: DataFrame, keep: list[str]) -> DataFrame:
     df = df.select(*keep, tokens(F.col("text").cast("string")).alias("words"))
     df = df.select(*keep, "words", _template(F.col("words")).alias("codes"))
-    return df.select(*keep, "codes", _slots(F.col("words"), F.col("codes")).alias("values"))
+    return df.select(*keep, "words", "codes", _slots(F.col("words"), F.col("codes")).alias("values"))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``item, place, window, item_slots, windows`` of each item's windows that
-    have WORDS different words or no placeholder; an item without such a window
-    (shorter than ``window``, or mere numbers) has none. Items equal in id and
-    text are one."""
+    """``item, size, place, window, item_slots, windows`` of each item's windows
+    that have WORDS different words or no placeholder; of an item without such
+    a window the exact ones, and of one of SHORT to ``window`` - 1 tokens all
+    its tokens as one. Items equal in id and text are one."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
     items = items.withColumn("item", F.struct("item_id", F.xxhash64("text").alias("hash")))
     coded = _coded(items, ["item"])
-    words = F.size(F.array_distinct(F.filter(F.slice("codes", F.col("at"), window), lambda c: ~c.between(_NUMBER, _NAME))))
-    rows = _windows(coded, ["item", "codes"], window).where((F.size("slots") == 0) | (words >= WORDS))
-    rows = rows.select("item", F.col("at").alias("place"), "window", F.col("slots").alias("item_slots"))
-    return rows.join(rows.groupBy("item").agg(F.count(F.lit(1)).alias("windows")), "item")
+    rows = _windows(coded, ["item"], window, window).withColumn("size", F.lit(window))
+    for size in range(SHORT, window):
+        rows = rows.unionByName(_windows(coded.where(F.size("codes") == size), ["item"], size, window).withColumn("size", F.lit(size)))
+    rows = rows.select("item", "size", F.col("at").alias("place"), "window", F.col("slots").alias("item_slots"), "exact")
+    counts = rows.groupBy("item").agg(F.count_if(~F.col("exact")).alias("usable"), F.count(F.lit(1)).alias("all"))
+    rows = rows.join(counts, "item").where((F.col("usable") == 0) | ~F.col("exact"))
+    return rows.select("item", "size", "place", "window", "item_slots", F.when(F.col("usable") > 0, F.col("usable")).otherwise(F.col("all")).alias("windows"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -107,9 +121,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int
     ``keys`` are one document, so the keys should tell texts apart.
     """
     bench = written(item_windows(benchmark, window), "leak-items")
+    short = sorted(r["size"] for r in bench.where(F.col("size") < window).select("size").distinct().collect())
     if bench.count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
-    found = _windows(_coded(docs, keys), keys, window).join(bench, "window")
+    coded = _coded(docs, keys)
+    rows = _windows(coded, keys, window, window)
+    for size in short:
+        rows = rows.unionByName(_windows(coded, keys, size, window))
+    found = rows.join(bench, "window")
     found = found.select(*keys, "item", "windows", "place", (F.col("at") - F.col("place")).alias("shift"), F.when(F.size("slots") > 0, F.arrays_zip("slots", "item_slots")).alias("pairs"))
     found = written(found.distinct(), "leak-found")
     same = reduce(lambda a, b: a & b, [F.col(f"f.{c}").eqNullSafe(F.col(f"x.{c}")) for c in [*keys, "item", "shift"]])

@@ -299,6 +299,15 @@ def test_leaks(spark):
     assert decontaminate.leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_items_without_template_windows_leak_by_their_tokens(spark):
+    texts = ["What is 48 / 2 + 9 - 7?", "Name the capital", "日本の首都はどこですか"]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(k, f"lorem ipsum dolor {t} sit amet") for k, t in enumerate(texts)]
+    rows += [(10, "lorem What is 48 / 2 + 9 - 8? amet"), (11, "the capital name"), (12, "日本の首都"), (13, f"次の{texts[2]}答え")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (13, 2)}
+
+
 def test_leaks_do_not_depend_on_the_join(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "one fine day the green parrot flew across our garden wall twice")], "item_id long, text string")
     rows = [(k, ("before " * k) + "one fine day the green parrot flew across our garden wall twice") for k in range(30)]
