@@ -36,12 +36,21 @@ _TOKEN = rf"[{_SINGLE}]|[a-z\x{{80}}-\x{{10FFFF}}&&[^{_SINGLE}]][a-z0-9\x{{80}}-
 
 # Spelled numbers, units and given names that become placeholders.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split()
+# Spanish, French and German; without words that are common in another of the languages (once, cent, elf).
+NUMBERS += (
+    "dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones docena "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille millions douzaine "
+    "zwei drei vier fünf sechs sieben acht neun zehn zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend millionen dutzend"
+).split()
 UNITS = (
     "mm cm km mg kg ml kb mb gb tb hz khz mhz ghz kw kwh mph kph ft yd lb lbs oz "
     "millimeter millimeters centimeter centimeters meter meters metre metres kilometer kilometers kilometre kilometres inch inches foot feet yard yards mile miles "
     "gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes liter liters litre litres milliliter milliliters gallon gallons "
     "second seconds minute minutes hour hours day days week weeks month months year years degree degrees celsius fahrenheit kelvin "
-    "dollar dollars cent cents euro euros percent watt watts volt volts newton newtons joule joules"
+    "dollar dollars cent cents euro euros percent watt watts volt volts newton newtons joule joules "
+    "milímetros centímetros metro metros kilómetro kilómetros gramo gramos kilo kilos kilogramo kilogramos litro litros segundo segundos minuto minutos hora horas día días semana semanas meses año años grados dólar dólares céntimos "
+    "millimètres centimètres mètre mètres kilomètre kilomètres gramme grammes kilogramme kilogrammes secondes heure heures jour jours semaine semaines mois année années degrés centimes "
+    "zentimeter kilometern gramm kilogramm sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren grad pfund"
 ).split()
 NAMES = (
     "alice alan albert alex alexander amanda amy andrea andrew angela ann anna anne anthony ashley barbara ben benjamin betty bill bob brandon brian carl carla carlos carol "

@@ -308,6 +308,13 @@ def test_items_without_template_windows_leak_by_their_tokens(spark):
     assert got == {(0, 0), (1, 1), (2, 2), (13, 2)}
 
 
+def test_leaks_with_other_numbers_and_units_of_four_languages(spark):
+    texts = [("Der Bauer kauft drei Kilogramm frische Äpfel und trägt sie in {} Stunden nach Hause zur Familie", "vier", "sieben"), ("La mujer compra cinco kilos de manzanas y camina {} horas hasta la casa grande del pueblo", "dos", "nueve")]
+    bench = spark.createDataFrame([(k, t.format(a)) for k, (t, a, _) in enumerate(texts)], "item_id long, text string")
+    changed = [(0, texts[0][0].format("sieben").replace("drei Kilogramm", "acht Pfund")), (1, texts[1][0].format("nueve").replace("cinco kilos", "ocho gramos"))]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, changed), bench).collect()} == {(0, 0), (1, 1)}
+
+
 def test_leaks_do_not_depend_on_the_join(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "one fine day the green parrot flew across our garden wall twice")], "item_id long, text string")
     rows = [(k, ("before " * k) + "one fine day the green parrot flew across our garden wall twice") for k in range(30)]
