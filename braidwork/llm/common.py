@@ -21,8 +21,18 @@ def empty(df: DataFrame) -> bool:
 
 
 def row_key(df: DataFrame) -> Column:
-    """A hash of all columns; rows that are equal in all columns share it."""
-    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map" in t or "variant" in t else F.col(f"`{c}`") for c, t in df.dtypes])
+    """128 bits that rows share if they are equal in all columns, nulls
+    included, and else with a chance of 2**-128 a pair.
+
+    The hash function skips nulls, so each column goes in beside whether it is
+    one; nested values go in as JSON that keeps null fields.
+    """
+    parts: list[Column] = []
+    for c, t in df.dtypes:
+        column = F.col(f"`{c}`")
+        nested = any(kind in t for kind in ("map<", "struct<", "array<", "variant"))
+        parts += [column.isNull(), F.to_json(F.struct(column.alias("v")), {"ignoreNullFields": "false"}) if nested else column]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")

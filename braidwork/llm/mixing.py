@@ -2,13 +2,15 @@
 
 Documents are counted by source and exact length in words. A source's target is
 so many whole passes and a remaining budget; the budget is met by a seeded
-share of each length, and the last few words of it by bounded-knapsack dynamic
+share of each length, and the rest of it by bounded-knapsack dynamic
 programming over the length counts. Which documents of a length are taken
 follows from a seeded hash.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,8 +22,10 @@ from .common import WORD, row_key, written
 #: Fixed value: the weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
-#: Words that are left to the dynamic programme: its table is as long.
+#: Words that are left to the dynamic programme at first.
 LAST_WORDS = 32_768
+#: Places of its table: a longer rest is counted in coarser units first.
+CELLS = 1 << 22
 #: Documents of one source and length are ranked in so many parts.
 SALTS = 1024
 
@@ -52,61 +56,92 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return weighed.withColumn("lambda", level).select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("lambda") * F.col("w")).alias("target"))
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, last: int = LAST_WORDS) -> list[int]:
+def fit(lengths: list[int], counts: list[int], budget: int, last: int = LAST_WORDS, cells: int = CELLS) -> list[int]:
     """How many documents of each length to take so that their words come to
     ``budget`` or as little below as the search finds.
 
     A share of each count goes first, so that the mix keeps the source's spread
-    of lengths; single documents from the longest down bring the rest to
-    ``last`` words; the dynamic programme fills those exactly where it can.
+    of lengths, and leaves a reserve to the knapsack. If a small reserve
+    (``last`` words at most) is not met exactly, one of twice the longest
+    document is tried, which lets in every document that fits the budget, and
+    the whole budget, where the knapsack counts that in words.
     """
-    total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+    own = sorted((k for k in range(len(lengths)) if lengths[k] > 0 and counts[k] > 0), key=lambda k: -lengths[k])
+    total = sum(lengths[k] * counts[k] for k in own)
     budget = max(0, min(budget, total))
-    if not total or not budget:
-        return [0] * len(lengths)
-    take = [c * budget // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
-    rest = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
-    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-        if rest <= last:
+    best, gap = [0] * len(lengths), budget
+    if not budget:
+        return best
+    for reserve in sorted({min(last, budget // 8), min(budget, 2 * lengths[own[0]]), budget if budget <= cells else 0}):
+        take = [0] * len(lengths)
+        for k in own:
+            take[k] = counts[k] * (budget - reserve) // total
+        rest = budget - sum(lengths[k] * take[k] for k in own)
+        for k, n in knapsack([(k, lengths[k], counts[k] - take[k]) for k in own], rest, cells).items():
+            take[k] += n
+            rest -= n * lengths[k]
+        if rest < gap:
+            best, gap = take, rest
+        if not gap:
             break
-        if lengths[k] and (more := min(counts[k] - take[k], (rest - last // 2) // lengths[k])) > 0:
-            take[k] += more
-            rest -= more * lengths[k]
-    if rest <= 0:
-        return take
-    if rest > 2 * last:  # what is free is longer than rest - last // 2 each, so at most one fits
-        fits = [k for k in range(len(lengths)) if 0 < lengths[k] <= rest and take[k] < counts[k]]
-        if fits:
-            k = max(fits, key=lambda k: lengths[k])
-            take[k] += 1
-            rest -= lengths[k]
-        if rest <= 0:
-            return take
-    rest_cap = min(rest, 2 * last)
-    via, items = np.full(rest_cap + 1, -1, np.int64), []
+    return best
+
+
+def knapsack(free: list[tuple[int, int, int]], rest: int, cells: int = CELLS) -> dict[int, int]:
+    """How many to take of ``free`` (key, length, count; the longest first) to
+    come as near to ``rest`` from below as dynamic programming finds.
+
+    A rest of up to ``cells`` words is filled as well as it can be. Of a longer
+    one, single documents from the longest down leave three of the longest at
+    most; the table then counts coarser units, lengths rounded up, and what the
+    rounding leaves is filled in turn.
+    """
+    took: dict[int, int] = {}
+    while True:
+        free = [(k, n, min(c, rest // n)) for k, n, c in free if min(c, rest // n) > 0]
+        if not free:
+            return took
+        unit, now = -(-rest // cells), {}
+        left = rest - 2 * free[0][1]
+        for k, n, c in free if unit > 1 else []:
+            if left >= n:
+                now[k] = min(c, left // n)
+                left -= now[k] * n
+        if not now:
+            now = _table([f for f in free if f[1] >= unit] or free, rest, unit) or {free[0][0]: 1}
+        else:
+            unit = 0
+        rest -= sum(n * now.get(k, 0) for k, n, _ in free)
+        free = [(k, n, c - now.get(k, 0)) for k, n, c in free]
+        for k, n in now.items():
+            took[k] = took.get(k, 0) + n
+        if unit == 1:
+            return took
+
+
+def _table(free: list[tuple[int, int, int]], rest: int, unit: int) -> dict[int, int]:
+    """The best sum by dynamic programming; counts are split in powers of two."""
+    grain = math.gcd(*[n for _, n, _ in free]) if unit == 1 else unit
+    size, top = rest // grain, 0
+    via, items = np.full(size + 1, -1, np.int32), []
     via[0] = 0
-    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-        n, free = lengths[k], counts[k] - take[k]
-        if not 0 < n <= rest_cap:
-            continue
-        free, part = min(free, rest_cap // n), 1
-        while free > 0 and via[rest_cap] < 0:
-            part_now = min(part, free)
-            free, part = free - part_now, part * 2
-            step = n * part_now
-            if step > rest_cap:
+    for k, n, count in free:
+        cost, part = -(-n // grain), 1
+        while count > 0 and via[size] < 0:
+            now = min(part, count)
+            count, part, step = count - now, part * 2, cost * now
+            if step > size:
                 continue
-            items.append((k, part_now, step))
-            new = (via[:-step] >= 0) & (via[step:] < 0)
-            via[step:][new] = len(items)
-        if via[rest_cap] >= 0:
-            break
-    at = int(np.flatnonzero(via >= 0)[-1])
+            items.append((k, now, step))
+            top = min(size, top + step)
+            new = (via[: top + 1 - step] >= 0) & (via[step : top + 1] < 0)
+            via[step : top + 1][new] = len(items)
+    at, took = int(np.flatnonzero(via >= 0)[-1]), {}
     while at:  # an item reaches a sum only from one that earlier items reach
         k, n, step = items[via[at] - 1]
-        take[k] += n
+        took[k] = took.get(k, 0) + n
         at -= step
-    return take
+    return took
 
 
 def _quotas(group: pd.DataFrame) -> pd.DataFrame:
