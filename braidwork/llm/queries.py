@@ -66,14 +66,14 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH u AS (
-  SELECT page_id,
+  SELECT page_id, row_number() OVER () AS n,
          coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages),
 rules(rhost, rpath, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 best AS (
   SELECT u.page_id, u.host, u.path, r.rhost || r.rpath AS rule, r.verdict,
-         row_number() OVER (PARTITION BY u.page_id, u.host, u.path ORDER BY length(r.rhost || r.rpath) DESC) AS k
+         row_number() OVER (PARTITION BY u.n ORDER BY length(r.rhost || r.rpath) DESC) AS k
   FROM u LEFT JOIN rules r ON (u.host = r.rhost OR ends_with(u.host, '.' || r.rhost)) AND starts_with(u.path, r.rpath))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best WHERE k = 1
 """

@@ -66,7 +66,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", parts: int
     the rule's path; the longest host-and-path wins. A null url, or one without
     ://, has an empty host and path and no rule; with no rule the verdict is
     ``default``. Rows are never joined on page_id, so null and repeated ids and
-    repeated urls each keep their row; an empty table gives an empty result.
+    repeated urls each keep their row; of rules alike in host and path the last
+    verdict by name counts. Urls of any length are judged whole, other columns
+    of ``pages`` are not read, an empty table gives an empty result.
     """
     spark = pages.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -81,5 +83,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", parts: int
     before = last.select("part", F.last("own", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = dealt.withColumn("now", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1").join(F.broadcast(before), "part", "left")
-    fits = F.filter(F.coalesce("now", "before"), lambda r: F.col("path").startswith(r["path"]))
+    # A label that holds byte 1 itself lies in intervals that are not its own.
+    below = lambda r: (F.col("host") == r["host"]) | F.col("host").endswith(F.concat(F.lit("."), r["host"]))
+    fits = F.filter(F.coalesce("now", "before"), lambda r: F.col("path").startswith(r["path"]) & below(r))
     return swept.withColumn("hit", F.try_element_at(fits, F.lit(1))).select("page_id", "host", "path", F.concat("hit.host", "hit.path").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
