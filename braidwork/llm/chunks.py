@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,14 +72,26 @@ def cut(ends: np.ndarray, begin: int, end: int) -> list[int]:
     return cuts
 
 
-_COLUMNS = "row int, start long, size int, digest long"
+_COLUMNS = "row long, start long, size int, digest long, more long"
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows to be cut together: 4 MB, or one longer text."""
+    at = held = 0
+    for k, size in enumerate(pc.binary_length(texts).to_pylist()):
+        if k > at and held + size > 4 << 20:
+            yield at, k
+            at, held = k, 0
+        held += size
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary())
-        for at in range(0, batch.num_rows, 512):
-            part = [t.as_py() for t in texts.slice(at, 512)]
+        for at, to in _slices(texts):
+            part = [t.as_py() for t in texts.slice(at, to - at)]
             blob = b"".join(part)
             data = np.frombuffer(blob, np.uint8)
             h = gear(data)
@@ -88,22 +101,25 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end = begin + len(t)
                 cuts = cut(candidates(h[begin:end]) + begin, begin, end)
                 froms = [begin, *cuts[:-1]]
-                digest += [xxhash.xxh3_64_intdigest(blob[a:b]) for a, b in zip(froms, cuts, strict=False)]
+                digest += [xxhash.xxh3_128_digest(blob[a:b]) for a, b in zip(froms, cuts, strict=False)]
                 start += [a - begin for a in froms[: len(cuts)]]
                 size += [b - a for a, b in zip(froms, cuts, strict=False)]
                 owner += [at + k] * len(cuts)
                 begin = end
             row = batch.column(2).take(pa.array(owner, pa.int64()))
             ids = batch.column(0).take(pa.array(owner, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, row, pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64))], names=["doc_id", "row", "start", "size", "digest"])
+            both = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([ids, row, pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "row", "start", "size", "digest", "more"])
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, start, size, digest`` of all chunks of all texts; ``row``
-    tells texts of one id apart. Null texts have none, nor have rows without an
-    id any part: they neither repeat nor are repeated."""
+    """``doc_id, row, start, size, digest, more`` (the digest's 128 bits) of all
+    chunks of all texts; ``row`` tells texts of one id apart. Null and empty
+    texts have none, nor have rows without an id any part: they neither repeat
+    nor are repeated. A very long text is cut like any other, in one piece of
+    memory."""
     text = F.encode(F.col("text").cast("string"), "UTF-8")
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id"), text.alias("data"), F.hash("text").alias("row"))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id"), text.alias("data"), F.xxhash64("text").alias("row"))
     return rows.mapInArrow(_chunks, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_COLUMNS}")
 
 
@@ -116,8 +132,8 @@ def repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     have come out of the join.
     """
     chunks = written(chunked(docs), "chunks")
-    shared = chunks.groupBy("digest", "size").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
-    again = chunks.join(written(shared, "chunks-shared"), ["digest", "size"]).where("doc_id > first_id")
+    shared = chunks.groupBy("digest", "more", "size").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    again = chunks.join(written(shared, "chunks-shared"), ["digest", "more", "size"]).where("doc_id > first_id")
     again = again.groupBy("doc_id", "row", "start").agg(F.max("size").alias("size"), F.min("first_id").alias("first_id"))
     order = Window.partitionBy("doc_id", "row").orderBy("start")
     fresh = F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) != F.col("start"), F.lit(True)).cast("int")
@@ -128,8 +144,11 @@ def repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
 
 def duplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     """One row for each document with repeated runs: ``doc_id, n_spans,
-    n_removed, spans, first_ids``; documents without one have no row. Rows of
-    one id with other texts count apart; an empty table gives an empty result."""
+    n_removed, spans, first_ids``; documents without one have no row. ``run`` is
+    how many bytes a run of repeated chunks needs, RUN by default: less is a
+    common phrase. Rows of one id with other texts count apart and take nothing
+    from each other, copies of a row are one; other columns are not read; an
+    empty table gives an empty result."""
     one = F.struct("start", "end")
     found = repeats(docs, run).groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("n_removed"), F.array_sort(F.collect_list(one)).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("first_ids")))).alias("first_ids"))
     return found.select("doc_id", "n_spans", "n_removed", F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(":"), r["end"])), ",").alias("spans"), "first_ids")
@@ -141,7 +160,7 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     runs = repeats(docs, run).groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_bw_runs"))
     runs = written(runs.select(F.col("doc_id").alias("_bw_id"), F.col("row").alias("_bw_hash"), "_bw_runs"), "chunks-runs")
     data = F.encode(F.col("text").cast("string"), "UTF-8")
-    keyed = docs.withColumn("_bw_hash", F.hash("text"))
+    keyed = docs.withColumn("_bw_hash", F.xxhash64("text"))
     found = keyed.join(runs.withColumnRenamed("_bw_hash", "_bw_row"), (F.col("doc_id") == F.col("_bw_id")) & (F.col("_bw_hash") == F.col("_bw_row")), "left")
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     kept = F.aggregate(
