@@ -40,6 +40,9 @@ IDENTIFIERS = (
 _SENSITIVE = re.compile("|".join(re.escape(w) for w in SENSITIVE), re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+#: Letters that most words have many of, and changes from small to capital: letters alone
+#: are key material with few of the first and this many of the second.
+_VOWEL, _RISE, RISES, VOWELS = re.compile(r"[aeiouAEIOU]"), re.compile(r"[a-z][A-Z]"), 4, 0.27
 #: Characters before and after a sensitive word that are its context, and around a candidate that prime the compressor.
 AROUND = 512
 #: What may stand between lines of one key.
@@ -77,6 +80,13 @@ def _without(text: str, core: str, cut_left: bool, cut_right: bool) -> str:
     return left[: len(left) - len(core) + 1] if cut_right else left
 
 
+def _key_like(body: str) -> bool:
+    """Letters and digits, or letters alone that are no words joined by capitals."""
+    if not _LETTER.search(body):
+        return False
+    return bool(_DIGIT.search(body)) or (len(_RISE.findall(body)) >= RISES and len(_VOWEL.findall(body)) < VOWELS * len(body))
+
+
 def _candidates(text: str, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Runs of key characters, divided at the sensitive words inside them."""
     starts = [a for a, _ in words]
@@ -117,7 +127,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], least: float = NOV
         body = text[a:b]
         if any(x < b and a < y for x, _, y in taken):
             continue
-        if not goes_on and not (_DIGIT.search(body) and _LETTER.search(body)):
+        if not goes_on and not _key_like(body):
             continue
         core = body.strip("=_-+/") or body
         lo, hi = max(0, a - AROUND - len(core)), min(len(text), b + AROUND + len(core))
@@ -160,7 +170,9 @@ _OUT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans stri
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document, without a shuffle. A null text counts as empty; ids
-    may be null or repeat; an empty table gives an empty result."""
+    may be null or repeat, and repeated rows each have a row; a very long text
+    is scanned whole; other columns, whatever their names, are not read; an
+    empty table gives an empty result."""
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = kept.schema["doc_id"].dataType.simpleString()
 
