@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words of documents and benchmark items become hashes; numbers, given names and
-units become typed placeholders. Windows of the templates meet in a hash join.
-Along one alignment the values behind the placeholders must map one to one
-(consistent slots): a question with other numbers or names is caught, two texts
-that merely share a pattern are not. Built-in expressions only.
+Words of documents and benchmark items become hashes; numbers, names and units
+become typed placeholders. Names are listed ones and, in a second template,
+all words with a capital inside a sentence. Windows of the templates meet in a
+hash join. Along one alignment the values behind the placeholders must map one
+to one (consistent slots): a question with other numbers or names is caught,
+two texts that merely share a pattern are not. Built-in expressions only.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ SHORT = 3
 
 #: Scripts without spaces (Thai to Myanmar, Khmer, kana, ideographs): each character is a word.
 _SINGLE = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
-_TOKEN = rf"[{_SINGLE}]|[a-z\x{{80}}-\x{{10FFFF}}&&[^{_SINGLE}]][a-z0-9\x{{80}}-\x{{10FFFF}}&&[^{_SINGLE}]]*|[0-9]+(?:[.,][0-9]+)*"
+_MARK = "\x01"
+#: Before a capitalised word that follows a small letter, digit or comma and one space.
+_INSIDE = r"(?<=[\p{Ll}0-9,;]\s)(?=\p{Lu}\p{Ll})"
+_TOKEN = rf"[{_SINGLE}]|\x01?[a-z\x{{80}}-\x{{10FFFF}}&&[^{_SINGLE}]][a-z0-9\x{{80}}-\x{{10FFFF}}&&[^{_SINGLE}]]*|[0-9]+(?:[.,][0-9]+)*"
 
-# Spelled numbers, units and given names that become placeholders.
+# Spelled numbers, units and given names that become placeholders in every template.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split()
 # Spanish, French and German; without words that are common in another of the languages (once, cent, elf).
 NUMBERS += (
@@ -67,8 +71,10 @@ _NUMBER, _UNIT, _NAME = 1, 2, 3
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased words and numbers of a whole text; null has none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
+    """Lower-cased words and numbers of a whole text, with a mark before those
+    that have a capital inside a sentence; null has none."""
+    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _MARK, " "), _INSIDE, _MARK)
+    return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), F.lit(0))
 
 
 def _template(words: Column) -> Column:
@@ -78,35 +84,46 @@ def _template(words: Column) -> Column:
     return F.transform(words, code)
 
 
-def _slots(words: Column, codes: Column) -> Column:
-    return F.zip_with(words, codes, lambda w, c: F.when(c.between(_NUMBER, _NAME), w))
+def _coded(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``words``, whether each is ``named`` by its form, and its ``codes``."""
+    df = df.select(*keep, tokens(F.col("text").cast("string")).alias("marked"))
+    named = F.transform("marked", lambda w: w.startswith(_MARK))
+    df = df.select(*keep, named.alias("named"), F.transform("marked", lambda w: F.when(w.startswith(_MARK), F.substring(w, 2, 1 << 30)).otherwise(w)).alias("words"))
+    return df.select(*keep, "named", "words", _template(F.col("words")).alias("codes"))
 
 
 def _windows(df: DataFrame, keep: list[str], size: int, whole: int = WINDOW) -> DataFrame:
-    """``keep`` and ``at, window, slots, exact`` for each window of ``size``
-    codes. One without WORDS different words beside placeholders, or of less
-    than ``whole`` codes, stands for its very tokens: ``exact``, without slots."""
+    """``keep`` and ``at, window, slots, exact, by_form`` for each window of
+    ``size`` codes. One without WORDS different words beside placeholders, or of
+    less than ``whole`` codes, stands for its very tokens: ``exact``, without
+    slots. A window that holds names by form comes once more, ``by_form``, if
+    enough words are left."""
     n = F.size("codes")
+    by_form = F.zip_with("codes", "named", lambda c, x: F.when(x & ~c.between(_NUMBER, _NAME), F.lit(_NAME).cast("long")).otherwise(c))
+
+    def one(formed: bool):
+        def window(i: Column) -> Column:
+            codes, words = F.slice("formed" if formed else "codes", i, size), F.slice("words", i, size)
+            slots = F.array_compact(F.zip_with(words, codes, lambda w, c: F.when(c.between(_NUMBER, _NAME), w)))
+            plain = F.size(F.array_distinct(F.filter(codes, lambda c: ~c.between(_NUMBER, _NAME))))
+            exact = (F.size(slots) > 0) & (plain < WORDS) if whole == size else F.lit(True)
+            return F.struct(i.alias("at"), codes.alias("codes"), slots.alias("slots"), exact.alias("exact"), words.alias("words"), F.lit(formed).alias("by_form"))
 
-    def one(i: Column) -> Column:
-        codes, slots = F.slice("codes", i, size), F.array_compact(F.slice("values", i, size))
-        words = F.size(F.array_distinct(F.filter(codes, lambda c: ~c.between(_NUMBER, _NAME))))
-        return F.struct(i.alias("at"), codes.alias("codes"), slots.alias("slots"), ((F.size(slots) > 0) & (words < WORDS) if whole == size else F.lit(True)).alias("exact"), F.slice("words", i, size).alias("words"))
+        return window
 
     starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-    rows = df.select(*keep, F.explode(F.transform(starts, one)).alias("w")).select(*keep, "w.*")
+    windows = F.transform(starts, one(False))
+    if whole == size:
+        df = df.withColumn("formed", by_form)
+        some = F.filter(starts, lambda i: F.array_contains(F.slice("named", i, size), True))
+        windows = F.concat(windows, F.filter(F.transform(some, one(True)), lambda w: ~w["exact"]))
+    rows = df.select(*keep, F.explode(windows).alias("w")).select(*keep, "w.*")
     window = F.when(F.col("exact"), F.xxhash64(F.lit(size), F.lit("exact"), "words")).otherwise(F.xxhash64(F.lit(size), "codes"))
-    return rows.select(*keep, "at", window.alias("window"), F.when(~F.col("exact"), F.col("slots")).otherwise(F.array().cast("array<string>")).alias("slots"), "exact")
-
-
-def _coded(df: DataFrame, keep: list[str]) -> DataFrame:
-    df = df.select(*keep, tokens(F.col("text").cast("string")).alias("words"))
-    df = df.select(*keep, "words", _template(F.col("words")).alias("codes"))
-    return df.select(*keep, "words", "codes", _slots(F.col("words"), F.col("codes")).alias("values"))
+    return rows.select(*keep, "at", window.alias("window"), F.when(~F.col("exact"), F.col("slots")).otherwise(F.array().cast("array<string>")).alias("slots"), "exact", "by_form")
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``item, size, place, window, item_slots, windows`` of each item's windows
+    """``item, size, place, window, item_slots, item_form, windows`` of each item's windows
     that have WORDS different words or no placeholder; of an item without such
     a window the exact ones, and of one of SHORT to ``window`` - 1 tokens all
     its tokens as one. Items equal in id and text are one."""
@@ -116,10 +133,11 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = _windows(coded, ["item"], window, window).withColumn("size", F.lit(window))
     for size in range(SHORT, window):
         rows = rows.unionByName(_windows(coded.where(F.size("codes") == size), ["item"], size, window).withColumn("size", F.lit(size)))
-    rows = rows.select("item", "size", F.col("at").alias("place"), "window", F.col("slots").alias("item_slots"), "exact")
-    counts = rows.groupBy("item").agg(F.count_if(~F.col("exact")).alias("usable"), F.count(F.lit(1)).alias("all"))
+    rows = rows.select("item", "size", F.col("at").alias("place"), "window", F.col("slots").alias("item_slots"), "exact", F.col("by_form").alias("item_form"))
+    counts = rows.where("not item_form").groupBy("item").agg(F.count_if(~F.col("exact")).alias("usable"), F.count(F.lit(1)).alias("all"))
     rows = rows.join(counts, "item").where((F.col("usable") == 0) | ~F.col("exact"))
-    return rows.select("item", "size", "place", "window", "item_slots", F.when(F.col("usable") > 0, F.col("usable")).otherwise(F.col("all")).alias("windows"))
+    rows = rows.where((F.col("usable") > 0) | ~F.col("item_form"))
+    return rows.select("item", "size", "place", "window", "item_slots", "item_form", F.when(F.col("usable") > 0, F.col("usable")).otherwise(F.col("all")).alias("windows"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -138,24 +156,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int
     for size in short:
         rows = rows.unionByName(_windows(coded, keys, size, window))
     found = rows.join(bench, "window")
-    found = found.select(*keys, "item", "windows", "place", (F.col("at") - F.col("place")).alias("shift"), F.when(F.size("slots") > 0, F.arrays_zip("slots", "item_slots")).alias("pairs"))
+    formed = F.col("by_form") | F.col("item_form")
+    found = found.select(*keys, "item", "windows", "place", (F.col("at") - F.col("place")).alias("shift"), F.when(F.size("slots") > 0, F.arrays_zip("slots", "item_slots")).alias("pairs"), formed.alias("formed"))
     found = written(found.distinct(), "leak-found")
-    same = reduce(lambda a, b: a & b, [F.col(f"f.{c}").eqNullSafe(F.col(f"x.{c}")) for c in [*keys, "item", "shift"]])
-    pairs = found.where("pairs is not null").select(*keys, "item", "shift", F.explode("pairs").alias("p")).distinct()
-    mixed = pairs.groupBy(*keys, "item", "shift").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p.slots").alias("a"), F.countDistinct("p.item_slots").alias("b")).where("n > a or n > b")
-    sound = found.alias("f").join(mixed.alias("x"), same, "left_anti")
-    # Rows are distinct, so a count is the alignment's number of windows.
-    aligned = sound.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "item", "shift")))
+    # An alignment stands by the listed names alone, and once more with those by form.
+    ways = F.when(F.col("formed"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
+    found = found.withColumn("formed", F.explode(ways))
+    on = [*keys, "item", "shift", "formed"]
+    same = reduce(lambda a, b: a & b, [F.col(f"f.{c}").eqNullSafe(F.col(f"x.{c}")) for c in on])
+    pairs = found.where("pairs is not null").select(*on, F.explode("pairs").alias("p")).distinct()
+    mixed = pairs.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p.slots").alias("a"), F.countDistinct("p.item_slots").alias("b")).where("n > a or n > b")
+    sound = found.alias("f").join(mixed.alias("x"), same, "left_anti").select(*on, "windows", "place").distinct()
+    aligned = sound.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*on)))
     aligned = aligned.where(F.col("n") >= F.least(F.lit(ALIGNED), F.col("windows")))
-    out = aligned.groupBy(*keys, "item").agg(F.countDistinct("place").alias("matched"), F.first("windows").alias("windows"))
+    out = aligned.groupBy(*keys, "item", "formed").agg(F.countDistinct("place").alias("matched"), F.first("windows").alias("windows"))
+    out = out.groupBy(*keys, "item").agg(F.max("matched").alias("matched"), F.first("windows").alias("windows"))
     return out.where(F.col("matched") >= F.col("windows") * F.lit(share))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """One row for each document and item it holds: ``doc_id, item_id,
     matched, windows, similarity``. Repeated rows count once; rows of one id
-    with other texts count apart; null texts hold nothing; an empty table on
-    either side gives an empty result."""
+    with other texts count apart; null and empty texts hold nothing, very long
+    ones are read whole; other columns, whatever their names, are not read; an
+    empty table on either side gives an empty result."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     found = matches(keyed, benchmark, ["doc_id", "hash"], window, share)
     return found.select("doc_id", "item.item_id", "matched", F.col("windows").cast("long").alias("windows"), (F.col("matched") / F.col("windows")).alias("similarity"))
@@ -163,7 +187,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds an item; what a row's text
-    holds decides alone, whatever its id."""
+    holds decides alone, whatever its id, so repeated rows go or stay together
+    and null texts stay. All columns of ``docs`` but ``_bw_hash`` and
+    ``_bw_crc`` come back as they are."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumns({"_bw_hash": F.xxhash64(text), "_bw_crc": F.crc32(F.encode(text, "UTF-8"))})
     found = matches(keyed, benchmark, ["_bw_hash", "_bw_crc"])
