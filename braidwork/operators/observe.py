@@ -32,6 +32,12 @@ class Session:
         except Exception:  # an observer must not change a result
             logging.getLogger(__name__).debug("observer failed", exc_info=True)
 
+    def counted(self, operation: str, count: int) -> None:
+        """Callbacks of one superstep, which finish together."""
+        if count:
+            self._next += 1
+            self.emit({"operation": operation, "operation_id": self._next, "phase": "finished", "time": time.time(), "count": count})
+
     @contextmanager
     def span(self, operation: str, **about: object) -> Iterator[dict]:
         self._next += 1
@@ -83,6 +89,7 @@ def log_observer(logger: logging.Logger) -> Callable[[dict], None]:
     return observe
 
 
-def outcomes(admitted: DataFrame) -> DataFrame:
-    """What became of each callback of a superstep: committed or discarded."""
-    return admitted.select("run_id", "kind", F.concat(F.lit("i"), F.col("num")).alias("invocation_id"), "node", F.col("o.action").alias("action"), F.when(F.col("accepted"), F.lit("committed")).otherwise(F.lit("discarded")).alias("outcome"))
+def outcomes(rows: DataFrame) -> DataFrame:
+    """What became of each task of ``Engine.tasks``: committed or discarded."""
+    acts = rows.select("run_id", F.inline("acts"))
+    return acts.select("run_id", "kind", F.concat(F.lit("i"), F.col("num")).alias("invocation_id"), "node", "action", F.when(F.col("accepted"), F.lit("committed")).otherwise(F.lit("discarded")).alias("outcome"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.graph import Compiled
+from ..sources.store import ConflictError, Store
 from ..sources.tables import written
-from .schema import FORMAT_VERSION, GROUPS_DDL, Position, public_invocations, runs_ddl, valid_name
-from .superstep import SUPERSTEP, Engine, Options
+from .observe import Session
+from .schema import FORMAT_VERSION, GROUPS_DDL, HEADER, INVOCATION, Position, by_number, fields_of, invocations_ddl, public_invocations, runs_ddl, valid_name
+from .superstep import SUPERSTEP, Engine, Items, Options
 
 
 @dataclass
@@ -35,11 +39,29 @@ def status_of(completed: Column, failed: Column, local: Column, stop: Column) ->
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt by run to as many parts as a shuffle or the cluster has, so
+    that the projections that follow keep all cores busy."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, "run_id")
+
+
+class AmbiguousCommitError(RuntimeError):
+    """A commit failed and the store holds neither what was before nor after it."""
+
+
 class Runner:
-    """Drives runs of one compiled graph whose state has the type ``state``."""
+    """Drives runs of one compiled graph whose state has the type ``state``.
+
+    With a ``store``, ``start`` creates the runs there and every superstep is
+    committed under the revisions that it began at, before the next one begins.
+    ``observer`` gets the events of calls and the counters of supersteps.
+    """
 
-    def __init__(self, graph: Compiled, state: str):
-        self.graph, self.state = graph, state
+    def __init__(self, graph: Compiled, state: str, store: Store | None = None, observer: Callable[[dict], None] | None = None):
+        self.graph, self.state, self.store = graph, state, store
+        self.session = Session(observer) if observer else None
 
     # --- opening --------------------------------------------------------------
 
@@ -50,49 +72,87 @@ class Runner:
         if bad.limit(1).take(1):
             raise ValueError("run ids must be unique, not empty and without white space around them")
         zero = F.lit(0).cast("bigint")
-        header = runs.select(
-            "run_id", F.lit(self.graph.definition_id).alias("definition_id"), F.lit(FORMAT_VERSION).alias("format_version"), F.lit(1).cast("bigint").alias("revision"), zero.alias("steps"), F.lit(3).cast("bigint").alias("next_id"), zero.alias("schedule_cursor"),
-            F.lit(False).alias("completed"), F.lit(False).alias("had_local_failures"), F.lit(None).alias("failure"), F.lit(None).alias("final"),
-        )
-        rows = runs.select(
-            "run_id", F.lit(1).cast("bigint").alias("num"), F.lit(2).cast("bigint").alias("call"), F.lit(self.graph.entry).alias("node"), F.col("state").cast(self.state).alias("state"), F.lit("ready").alias("status"), zero.alias("group_num"), F.lit("").alias("group_join"),
-            zero.alias("child_group"), F.lit(0).alias("branch_index"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("error"), zero.alias("entry_timeout_ns"), F.lit(None).cast("string").alias("continuation"),
-            F.lit(None).cast("array<string>").alias("next"), F.array().cast("array<bigint>").alias("path"), zero.alias("seq"),
-        )
-        spark = runs.sparkSession
-        header = header.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], runs_ddl(self.state)).schema])
-        return Position(header, rows, spark.createDataFrame([], GROUPS_DDL))
+        begin = {"num": F.lit(1), "call": F.lit(2), "node": F.lit(self.graph.entry), "state": F.col("state"), "status": F.lit("ready"), "group_num": zero, "group_join": F.lit(""), "child_group": zero, "branch_index": zero, "entry_timeout_ns": zero, "path": F.array(), "seq": zero}
+        types = fields_of(invocations_ddl(self.state))
+        first = F.struct(*[begin.get(f, F.lit(None)).cast(types[f]).alias(f) for f in INVOCATION])
+        header = {"run_id": F.col("run_id"), "definition_id": F.lit(self.graph.definition_id), "format_version": F.lit(FORMAT_VERSION), "revision": F.lit(1), "steps": zero, "next_id": F.lit(3), "schedule_cursor": zero, "completed": F.lit(False), "had_local_failures": F.lit(False)}
+        kinds = fields_of(runs_ddl(self.state))
+        groups = ",".join(f"{n}:{t}" for n, t in fields_of(GROUPS_DDL).items() if n != "run_id")
+        return Position(rows=runs.select(*[header.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in HEADER], F.array(first).alias("inv"), F.array().cast(f"array<struct<{groups}>>").alias("grp")))
 
     def _live(self, pos: Position, options: Options) -> DataFrame:
-        return pos.runs.withColumns({"left": F.lit(options.steps).cast("bigint"), "superstep": F.lit(1).cast("bigint"), "stop": F.lit(None).cast("string"), "message": F.lit(None).cast("string")})
+        none = F.lit(None).cast("string")
+        return pos.rows.withColumns({"left": F.lit(options.steps).cast("bigint"), "superstep": F.lit(1).cast("bigint"), "stop": none, "message": none, "idle": F.lit(False)})
 
     @staticmethod
     def rotated(pos: Position) -> Position:
         """Ready rows in numeric order, beginning after the saved cursor."""
-        cursor = pos.runs.select("run_id", "schedule_cursor")
-        rows = pos.invocations.join(cursor, "run_id")
-        ready = Window.partitionBy("run_id", F.col("status") == "ready")
-        turn = F.row_number().over(ready.orderBy(F.col("num") <= F.col("schedule_cursor"), "num"))
-        return Position(pos.runs, rows.withColumn("seq", F.when(F.col("status") == "ready", turn.cast("bigint")).otherwise(F.col("seq") % SUPERSTEP)).drop("schedule_cursor"), pos.groups)
-
-    def _finish(self, pos: Position, live: DataFrame) -> Result:
-        ready = pos.invocations.where("status = 'ready'").select("run_id").distinct().withColumn("more", F.lit(True))
-        live = live.join(ready, "run_id", "left").withColumn("stop", F.coalesce("stop", F.when(~F.col("completed") & F.col("more"), F.lit("max_steps")))).drop("more")
-        live = written(live, "call")
-        calls = live.select(
+        ready = F.filter("inv", lambda x: x["status"] == "ready")  # by number, as ``inv`` is
+        rows = pos.rows.withColumns({"early": F.filter(ready, lambda x: x["num"] <= F.col("schedule_cursor")), "after": F.filter(ready, lambda x: x["num"] > F.col("schedule_cursor"))})
+        turned = F.transform(F.concat("after", "early"), lambda x, i: x.withField("seq", (i + 1).cast("bigint")))
+        rest = F.transform(F.filter("inv", lambda x: x["status"] != "ready"), lambda x: x.withField("seq", x["seq"] % SUPERSTEP))
+        rows = rows.withColumn("inv", F.concat(turned, rest)).drop("early", "after")
+        return Position(rows=rows.withColumn("inv", by_number(F.col("inv"))))
+
+    def _finish(self, rows: DataFrame) -> Result:
+        more = ~F.col("completed") & F.array_contains("inv.status", "ready")
+        rows = rows.withColumn("stop", F.coalesce("stop", F.when(more, F.lit("max_steps"))))
+        calls = rows.select(
             "run_id", status_of(F.col("completed"), F.col("failure").isNotNull(), F.col("had_local_failures"), F.col("stop")).alias("status"), "revision", "steps", "next_id", "final", "failure",
             F.when(F.col("stop").isin("max_steps", "max_invocations"), F.col("stop")).alias("budget_reason"), F.when(F.col("stop").isin("illegal", "decode", "invalid_input"), F.coalesce("message", "stop")).alias("error"), "had_local_failures", "completed",
         )
-        over = live.where("completed").select("run_id")  # a completed run keeps no rows
-        left = [t.join(over, "run_id", "left_anti").select(t.columns) for t in (pos.invocations, pos.groups)]
-        return Result(Position(live.select(pos.runs.columns), *left), calls)
+        return Result(Position(rows=rows.select(*HEADER, "inv", "grp")), calls)
 
     # --- calls ----------------------------------------------------------------
 
+    def _span(self, operation: str):
+        return self.session.span(operation, definition_id=self.graph.definition_id) if self.session else nullcontext()
+
+    def _seen(self) -> Callable[[dict], None] | None:
+        """Events ``node`` and ``join`` with the number of callbacks that a
+        superstep committed."""
+        if self.session is None:
+            return None
+        last: dict[str, int] = {}
+
+        def seen(sums: dict) -> None:
+            now = {"nodes": int(sums.get("steps") or 0), "all": int(sums.get("revision") or 0)}
+            if last:
+                nodes = now["nodes"] - last["nodes"]
+                self.session.counted("node", nodes)
+                self.session.counted("join", now["all"] - last["all"] - nodes)
+            last.update(now)
+
+        return seen
+
+    def _commit(self, before: DataFrame, after: DataFrame) -> None:
+        """One superstep's runs that moved, as a change from their revisions."""
+        moved = after.join(before.select("run_id", F.col("revision").alias("expected")), "run_id").where("revision <> expected")
+        moved = written(moved, "moved")
+        if not moved.limit(1).take(1):
+            return
+        pos = Position(rows=moved.select(*HEADER, "inv", "grp"))
+        try:
+            self.store.commit(pos, moved.select("run_id", F.col("expected").alias("revision")))
+        except ConflictError:
+            raise
+        except Exception as error:  # the acknowledgement may be what was lost
+            stored = self.store.load_header().select("run_id", F.col("revision").alias("stored"))
+            off = moved.join(stored, "run_id", "left").where(~F.col("stored").eqNullSafe(F.col("revision")))
+            if off.limit(1).take(1):
+                raise AmbiguousCommitError("the commit's outcome is not known; recover from the store") from error
+
+    def _drive(self, engine: Engine, rows: DataFrame) -> Result:
+        return self._finish(engine.drive(rows, self._commit if self.store is not None else None, self._seen()))
+
     def start(self, runs: DataFrame, options: Options | None = None) -> Result:
         options = options or Options()
-        pos = self.new(runs)
-        return self._finish(*Engine(self.graph, self.state, options).drive(pos, self._live(pos, options), new=True))
+        with self._span("start"):
+            pos = self.new(runs)
+            pos = Position(rows=written(spread(pos.rows), "new"))
+            if self.store is not None:
+                self.store.create(pos)
+            return self._drive(Engine(self.graph, self.state, options), self._live(pos, options))
 
     def advance(self, pos: Position, inputs: DataFrame | None = None, options: Options | None = None) -> Result:
         """Answer waits (``inputs``: run_id, ordinal, invocation_id, call_id,
@@ -100,19 +160,47 @@ class Runner:
         is, with ``invalid_input``; one whose payloads do not all decode, with
         ``waiting``. Completed runs are left as they are."""
         options = options or Options()
-        engine = Engine(self.graph, self.state, options)
-        pos = Position(pos.runs, pos.invocations, pos.groups)
-        live = self._live(pos, options)
-        if inputs is not None:
-            decoded = written(self.decoded(pos, inputs), "inputs")
-            verdict = decoded.groupBy("run_id").agg(F.bool_and("valid").alias("valid"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"))
-            stop = F.when(~F.col("valid"), F.lit("invalid_input")).when(~F.col("ok"), F.lit("decode"))
-            live = written(live.join(verdict, "run_id", "left").withColumn("stop", F.when(~F.col("completed"), stop)).drop("valid", "ok"), "inputs-live")
-            good = live.where("stop is null and not completed").select("run_id")
-            tasks = engine.outcomes(pos, live.where("not completed and stop is null"), self._apply(engine, pos, decoded.join(good, "run_id", "left_semi")))
-            if tasks is not None:
-                pos, live = engine.commit(pos, live, tasks)
-        return self._finish(*engine.drive(pos, live))
+        with self._span("advance"):
+            engine = Engine(self.graph, self.state, options)
+            rows = self._live(pos, options)
+            if inputs is not None:
+                before = rows
+                rows = engine.apply(self._answered(engine, rows, inputs))
+                if self.store is not None:
+                    rows = written(rows, "applied")
+                    self._commit(before, rows)
+            return self._drive(engine, rows)
+
+    def _answered(self, engine: Engine, rows: DataFrame, inputs: DataFrame) -> DataFrame:
+        """Rows with the tasks ``given`` by their inputs, in the inputs' order;
+        runs whose inputs are not valid or do not decode stop and get none."""
+        asked = inputs.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "invocation_id", "call_id", "payload"))).alias("asked"))
+        rows = rows.join(asked, "run_id", "left")
+        named = lambda v, a: (v["status"] == "waiting") & (F.concat(F.lit("i"), v["num"]) == a["invocation_id"]) & (F.concat(F.lit("c"), v["call"]) == a["call_id"])
+        items = Items("asked").add(v=lambda a: F.try_element_at(F.filter("inv", lambda v: named(v, a)), F.lit(1)), times=lambda a: F.size(F.filter("asked", lambda b: b["invocation_id"] == a["invocation_id"])))
+        pairs = self.graph.continuations.items()
+
+        def ok(a: Column) -> Column:
+            out = F.lit(False)
+            for key, (decode, _) in pairs:
+                out = F.when(a["v"]["continuation"] == key, decode(a["payload"]).isNotNull()).otherwise(out)
+            return out
+
+        def outcome(a: Column) -> Column:
+            """What the continuation makes of it: a state, or an outcome for failures."""
+            out, v = F.lit(None).cast(engine.out.type), a["v"]
+            call = F.struct(F.col("run_id"), a["invocation_id"].alias("invocation_id"), a["call_id"].alias("call_id"), v["node"].alias("node"))
+            for key, (decode, apply) in pairs:
+                out = F.when(v["continuation"] == key, apply(engine.out, v["state"], decode(a["payload"]), call, v["next"]).cast(engine.out.type)).otherwise(out)
+            return out
+
+        rows = rows.withColumn("asked", items.add(ok=ok).column)
+        valid = F.forall("asked", lambda a: a["v"].isNotNull() & (a["times"] == 1))
+        good = F.forall("asked", lambda a: F.coalesce(a["ok"], F.lit(False)))
+        rows = rows.withColumn("stop", F.when(~F.col("completed") & F.col("asked").isNotNull(), F.when(~valid, F.lit("invalid_input")).when(~good, F.lit("decode"))))
+        task = lambda a: F.struct(a["v"].alias("inv"), outcome(a).alias("o"))
+        usable = F.when(F.col("stop").isNull() & ~F.col("completed"), F.col("asked"))
+        return rows.withColumn("given", F.transform(F.coalesce(usable, F.slice(F.coalesce("asked", F.array()), F.lit(1), F.lit(0))), task)).drop("asked")
 
     def decoded(self, pos: Position, inputs: DataFrame) -> DataFrame:
         """Each input with its waiting row (``valid``) and whether it decodes (``ok``)."""
@@ -125,38 +213,29 @@ class Runner:
             ok = F.when(F.col("continuation") == key, decode(F.col("payload")).isNotNull()).otherwise(ok)
         return rows.withColumn("ok", ok)
 
-    def _apply(self, engine: Engine, pos: Position, rows: DataFrame) -> DataFrame:
-        """Inputs as tasks: the continuation's outcome, in the inputs' order. An
-        apply gives a state, or an outcome for failures."""
-        out = engine.out
-        outcome = F.lit(None).cast(out.type)
-        call = F.struct("run_id", "invocation_id", "call_id", "node")
-        for key, (decode, apply) in self.graph.continuations.items():
-            outcome = F.when(F.col("continuation") == key, apply(out, F.col("state"), decode(F.col("payload")), call, F.col("targets")).cast(out.type)).otherwise(outcome)
-        return rows.select("run_id", F.lit(0).alias("phase"), F.col("ordinal").cast("bigint").alias("turn"), F.lit("apply").alias("kind"), "num", "node", "path", "group_num", "group_join", F.lit(0).cast("bigint").alias("gone"), engine._scope(F.col("node"), self.graph.nodes).alias("scope"), outcome.alias("o"))
-
     def resume(self, pos: Position, inputs: DataFrame | None = None, options: Options | None = None, stored: DataFrame | None = None) -> Result:
-        """Open a supplied position; runs whose stored header differs are stale
-        and dropped before anything runs."""
-        if stored is not None:
-            fresh = pos.runs.join(stored.select("run_id", "definition_id", "revision"), ["run_id", "definition_id", "revision"], "left_semi")
-            pos = Position(fresh, pos.invocations.join(fresh.select("run_id"), "run_id", "left_semi"), pos.groups.join(fresh.select("run_id"), "run_id", "left_semi"))
-        return self.advance(self.rotated(pos), inputs, options)
-
-    def recover(self, store, run_ids: DataFrame | None = None, inputs: DataFrame | None = None, options: Options | None = None) -> Result:
+        """Open a supplied position; runs whose stored header (``stored``, or the
+        store's) differs are stale and dropped before anything runs."""
+        with self._span("resume"):
+            if stored is None and self.store is not None:
+                stored = self.store.load_header()
+            if stored is not None:
+                rows = pos.rows.join(stored.select("run_id", "definition_id", "revision"), ["run_id", "definition_id", "revision"], "left_semi")
+                pos = Position(rows=rows)
+            return self.advance(self.rotated(pos), inputs, options)
+
+    def recover(self, store: Store | None = None, run_ids: DataFrame | None = None, inputs: DataFrame | None = None, options: Options | None = None) -> Result:
         """Open stored runs and drive them; terminal ones come back as they are."""
-        return self.resume(store.load(run_ids), inputs, options)
+        with self._span("recover"):
+            pos = (store or self.store).load(run_ids)
+            return self.advance(self.rotated(pos), inputs, options)
 
     def fork(self, pos: Position, names: DataFrame) -> Position:
         """``names (run_id, new_run_id)``: active runs under a new id at revision
         1; calls that are pending keep their ids; nothing runs."""
         names = names.where((F.col("run_id") != F.col("new_run_id")) & valid_name(F.col("new_run_id")))
-        names = names.join(pos.runs.where("not completed").select("run_id"), "run_id", "left_semi")
-
-        def renamed(df: DataFrame) -> DataFrame:
-            return df.join(names, "run_id").withColumn("run_id", F.col("new_run_id")).select(df.columns)
-
-        return Position(renamed(pos.runs).withColumn("revision", F.lit(1).cast("bigint")), renamed(pos.invocations), renamed(pos.groups))
+        rows = pos.rows.where("not completed").join(names, "run_id")
+        return Position(rows=rows.withColumns({"run_id": F.col("new_run_id"), "revision": F.lit(1).cast("bigint")}).select(*HEADER, "inv", "grp"))
 
     def pending(self, pos: Position) -> DataFrame:
         """The waits to be answered: identities without state."""
@@ -164,4 +243,4 @@ class Runner:
         return rows.select("run_id", F.col("id").alias("invocation_id"), "call_id", "node", "continuation")
 
 
-__all__ = ["Result", "Runner", "status_of"]
+__all__ = ["AmbiguousCommitError", "Result", "Runner", "status_of"]

@@ -6,7 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +33,8 @@ def valid_name(name: object) -> bool:
 @dataclass(frozen=True)
 class NodeSpec:
     """``run(out, state, call)`` gives an outcome Column; ``python`` instead maps
-    a dict state and call to an outcome dict, row by row in Arrow batches.
+    a dict state and call to an outcome dict, row by row in Arrow batches, or
+    with ``batch`` lists of both to a list of outcomes, without a limit of time.
     ``elapsed(state)`` is the modelled time of an attempt in nanoseconds."""
 
     name: str
@@ -42,6 +43,7 @@ class NodeSpec:
     on_error: str = "fail_invocation"
     timeout_ns: int = 0
     elapsed: Callable[[Column], Column] | None = None
+    batch: bool = False
 
 
 @dataclass(frozen=True)
@@ -201,9 +203,9 @@ class Graph:
             if sum(s == join.name for s, _ in self.edges) > 1:
                 raise GraphError(f"join {join.name!r} has two edges")
             sources.add(join.source)
-            flat.joins[prefix + join.name] = JoinSpec(prefix + join.name, prefix + join.source, join.merge, join.quorum, join.can_merge, join.error, join.on_error)
+            flat.joins[prefix + join.name] = replace(join, name=prefix + join.name, source=prefix + join.source)
         for node in self.nodes.values():
-            flat.nodes[prefix + node.name] = NodeSpec(prefix + node.name, node.run, node.python, node.on_error, node.timeout_ns, node.elapsed)
+            flat.nodes[prefix + node.name] = replace(node, name=prefix + node.name)
             if back is not None:
                 flat.returns[prefix + node.name] = back
         for key, pair in self.continuations.items():
