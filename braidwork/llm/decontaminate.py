@@ -85,11 +85,17 @@ def _template(words: Column) -> Column:
 
 
 def _coded(df: DataFrame, keep: list[str]) -> DataFrame:
-    """``words``, whether each is ``named`` by its form, and its ``codes``."""
+    """``words``, ``codes``, the ``slots`` behind placeholders, and where a text
+    has names by form the same with them: ``formed``, ``formed_slots``."""
     df = df.select(*keep, tokens(F.col("text").cast("string")).alias("marked"))
-    named = F.transform("marked", lambda w: w.startswith(_MARK))
-    df = df.select(*keep, named.alias("named"), F.transform("marked", lambda w: F.when(w.startswith(_MARK), F.substring(w, 2, 1 << 30)).otherwise(w)).alias("words"))
-    return df.select(*keep, "named", "words", _template(F.col("words")).alias("codes"))
+    bare = F.when(F.exists("marked", lambda w: w.startswith(_MARK)), F.transform("marked", lambda w: F.ltrim(w, F.lit(_MARK)))).otherwise(F.col("marked"))
+    df = df.select(*keep, "marked", bare.alias("words"))
+    df = df.select(*keep, "marked", "words", _template(F.col("words")).alias("codes"))
+    named = lambda m, c: F.when(m.startswith(_MARK) & (c != _UNIT) & (c != _NUMBER), F.lit(_NAME).cast("long")).otherwise(c)
+    formed = F.when(F.exists("marked", lambda w: w.startswith(_MARK)), F.zip_with("marked", "codes", named))
+    df = df.select(*keep, "words", "codes", formed.alias("formed"))
+    slots = lambda codes: F.zip_with("words", codes, lambda w, c: F.when(c.between(_NUMBER, _NAME), w))
+    return df.select(*keep, "words", "codes", slots("codes").alias("slots"), "formed", slots("formed").alias("formed_slots"))
 
 
 def _windows(df: DataFrame, keep: list[str], size: int, whole: int = WINDOW) -> DataFrame:
@@ -99,24 +105,22 @@ def _windows(df: DataFrame, keep: list[str], size: int, whole: int = WINDOW) ->
     slots. A window that holds names by form comes once more, ``by_form``, if
     enough words are left."""
     n = F.size("codes")
-    by_form = F.zip_with("codes", "named", lambda c, x: F.when(x & ~c.between(_NUMBER, _NAME), F.lit(_NAME).cast("long")).otherwise(c))
 
-    def one(formed: bool):
+    def one(codes: str, slots: str, by_form: bool):
         def window(i: Column) -> Column:
-            codes, words = F.slice("formed" if formed else "codes", i, size), F.slice("words", i, size)
-            slots = F.array_compact(F.zip_with(words, codes, lambda w, c: F.when(c.between(_NUMBER, _NAME), w)))
-            plain = F.size(F.array_distinct(F.filter(codes, lambda c: ~c.between(_NUMBER, _NAME))))
-            exact = (F.size(slots) > 0) & (plain < WORDS) if whole == size else F.lit(True)
-            return F.struct(i.alias("at"), codes.alias("codes"), slots.alias("slots"), exact.alias("exact"), words.alias("words"), F.lit(formed).alias("by_form"))
+            own, held = F.slice(codes, i, size), F.array_compact(F.slice(slots, i, size))
+            plain = F.size(F.array_distinct(F.filter(own, lambda c: ~c.between(_NUMBER, _NAME))))
+            exact = (F.size(held) > 0) & (plain < WORDS) if whole == size else F.lit(True)
+            return F.struct(i.alias("at"), own.alias("codes"), held.alias("slots"), exact.alias("exact"), F.slice("words", i, size).alias("words"), F.lit(by_form).alias("by_form"))
 
         return window
 
     starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, one(False))
+    windows = F.transform(starts, one("codes", "slots", False))
     if whole == size:
-        df = df.withColumn("formed", by_form)
-        some = F.filter(starts, lambda i: F.array_contains(F.slice("named", i, size), True))
-        windows = F.concat(windows, F.filter(F.transform(some, one(True)), lambda w: ~w["exact"]))
+        some = F.filter(starts, lambda i: F.slice("formed", i, size) != F.slice("codes", i, size))
+        formed = F.filter(F.transform(some, one("formed", "formed_slots", True)), lambda w: ~w["exact"])
+        windows = F.when(F.col("formed").isNotNull(), F.concat(windows, formed)).otherwise(windows)
     rows = df.select(*keep, F.explode(windows).alias("w")).select(*keep, "w.*")
     window = F.when(F.col("exact"), F.xxhash64(F.lit(size), F.lit("exact"), "words")).otherwise(F.xxhash64(F.lit(size), "codes"))
     return rows.select(*keep, "at", window.alias("window"), F.when(~F.col("exact"), F.col("slots")).otherwise(F.array().cast("array<string>")).alias("slots"), "exact", "by_form")
