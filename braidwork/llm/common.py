@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import shared_dir, written
@@ -13,13 +14,26 @@ from ..sources.tables import shared_dir, written
 #: Fixed value: what a word is wherever sizes or shingles are counted.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "components", "empty", "row_key", "shared_dir", "word_blocks", "written"]
+__all__ = ["WORD", "batches_of", "components", "empty", "row_key", "shared_dir", "word_blocks", "written"]
 
 
 def empty(df: DataFrame) -> bool:
     return len(df.limit(1).take(1)) == 0
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables written inside go to Python in batches of ``rows``: for rows that
+    hold long arrays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def row_key(df: DataFrame) -> Column:
     """128 bits that rows share if they are equal in all columns, nulls
     included, and else with a chance of 2**-128 a pair.
