@@ -15,7 +15,7 @@ from ..sources.store import ConflictError, Store
 from ..sources.tables import written
 from .observe import Session
 from .schema import FORMAT_VERSION, GROUPS_DDL, HEADER, INVOCATION, Position, by_number, fields_of, invocations_ddl, public_invocations, runs_ddl, valid_name
-from .superstep import SUPERSTEP, Engine, Items, Options
+from .superstep import SUPERSTEP, Cancellation, Engine, Items, Limiter, Options
 
 
 @dataclass
@@ -30,7 +30,7 @@ class Result:
 def status_of(completed: Column, failed: Column, local: Column, stop: Column) -> Column:
     return (
         F.when(stop == "max_invocations", F.lit("budget_exhausted"))
-        .when(stop.isNotNull() & (stop != "max_steps"), F.when(stop == "interrupted", F.lit("interrupted")).when(stop == "decode", F.lit("waiting")).otherwise(F.lit("failed")))
+        .when(stop.isNotNull() & (stop != "max_steps"), F.when(stop.isin("interrupted", "canceled"), stop).when(stop == "decode", F.lit("waiting")).otherwise(F.lit("failed")))
         .when(completed & failed, F.lit("failed"))
         .when(completed & local, F.lit("completed_with_failures"))
         .when(completed, F.lit("completed"))
@@ -56,11 +56,12 @@ class Runner:
 
     With a ``store``, ``start`` creates the runs there and every superstep is
     committed under the revisions that it began at, before the next one begins.
-    ``observer`` gets the events of calls and the counters of supersteps.
+    ``observer`` gets the events of calls and the counters of supersteps;
+    ``limiter`` bounds the tasks that run at once, ``cancel`` can stop a call.
     """
 
-    def __init__(self, graph: Compiled, state: str, store: Store | None = None, observer: Callable[[dict], None] | None = None):
-        self.graph, self.state, self.store = graph, state, store
+    def __init__(self, graph: Compiled, state: str, store: Store | None = None, observer: Callable[[dict], None] | None = None, limiter: Limiter | None = None, cancel: Cancellation | None = None):
+        self.graph, self.state, self.store, self.limiter, self.cancel = graph, state, store, limiter, cancel
         self.session = Session(observer) if observer else None
 
     # --- opening --------------------------------------------------------------
@@ -99,7 +100,7 @@ class Runner:
         rows = rows.withColumn("stop", F.coalesce("stop", F.when(more, F.lit("max_steps"))))
         calls = rows.select(
             "run_id", status_of(F.col("completed"), F.col("failure").isNotNull(), F.col("had_local_failures"), F.col("stop")).alias("status"), "revision", "steps", "next_id", "final", "failure",
-            F.when(F.col("stop").isin("max_steps", "max_invocations"), F.col("stop")).alias("budget_reason"), F.when(F.col("stop").isin("illegal", "decode", "invalid_input"), F.coalesce("message", "stop")).alias("error"), "had_local_failures", "completed",
+            F.when(F.col("stop").isin("max_steps", "max_invocations"), F.col("stop")).alias("budget_reason"), F.when(F.col("stop").isin("illegal", "decode", "invalid_input", "execution_limit", "canceled"), F.coalesce("message", "stop")).alias("error"), "had_local_failures", "completed",
         )
         return Result(Position(rows=rows.select(*HEADER, "inv", "grp")), calls)
 
@@ -113,15 +114,10 @@ class Runner:
         superstep committed."""
         if self.session is None:
             return None
-        last: dict[str, int] = {}
 
         def seen(sums: dict) -> None:
-            now = {"nodes": int(sums.get("steps") or 0), "all": int(sums.get("revision") or 0)}
-            if last:
-                nodes = now["nodes"] - last["nodes"]
-                self.session.counted("node", nodes)
-                self.session.counted("join", now["all"] - last["all"] - nodes)
-            last.update(now)
+            self.session.counted("node", int(sums.get("ran") or 0))
+            self.session.counted("join", int(sums.get("merged") or 0))
 
         return seen
 
@@ -143,7 +139,7 @@ class Runner:
                 raise AmbiguousCommitError("the commit's outcome is not known; recover from the store") from error
 
     def _drive(self, engine: Engine, rows: DataFrame) -> Result:
-        return self._finish(engine.drive(rows, self._commit if self.store is not None else None, self._seen()))
+        return self._finish(engine.drive(rows, self._commit if self.store is not None else None, self._seen(), self.limiter, self.cancel))
 
     def start(self, runs: DataFrame, options: Options | None = None) -> Result:
         options = options or Options()
@@ -227,7 +223,7 @@ class Runner:
     def recover(self, store: Store | None = None, run_ids: DataFrame | None = None, inputs: DataFrame | None = None, options: Options | None = None) -> Result:
         """Open stored runs and drive them; terminal ones come back as they are."""
         with self._span("recover"):
-            pos = (store or self.store).load(run_ids)
+            pos = (store if store is not None else self.store).load(run_ids)
             return self.advance(self.rotated(pos), inputs, options)
 
     def fork(self, pos: Position, names: DataFrame) -> Position:

@@ -4,9 +4,9 @@ A superstep gathers the tasks of every run (merges of groups first, then ready
 nodes in order), evaluates their outcomes as Columns, orders them within the
 run, keeps those that the run's own order admits, and derives the run's next
 row. All of it is array expressions over one row a run, so a superstep is a
-chain of narrow projections: no shuffle, no join, nothing collected. A call
-writes a table every few supersteps, which ends the lineage there; runs that
-have no task left stay behind in the table they finished in.
+chain of narrow projections: no shuffle, no join, nothing collected. Each
+superstep writes one table, which ends the lineage there; runs that have no
+task left stay behind in the table they finished in.
 
 Arrays that an expression uses inside a lambda are columns of a projection
 below it and are used twice, once for their size: Catalyst then computes them
@@ -15,12 +15,15 @@ once a run and not once an element.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from inspect import signature
+from threading import Condition, Event
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.outcomes import RESOLVED, Outcomes
@@ -30,8 +33,6 @@ from .pynodes import evaluate_python
 from .schema import DEADLINE, FAILURE, GROUP, GROUPS_DDL, INVOCATION, by_number, fields_of, invocations_ddl
 
 SUPERSTEP = 1 << 40  # room for the order within a superstep
-#: Supersteps that one written table stands for.
-UNROLLED = 1
 #: Columns of a call beside the position's.
 LIVE = ("left", "superstep", "stop", "message", "idle")
 GOING = "not completed and stop is null and not idle"
@@ -46,9 +47,13 @@ class Options:
     max_steps: int = 0
     max_invocations: int = 0
     failure_override: str | None = None
+    #: Tasks of a superstep that run at once; it changes no result.
+    max_concurrency: int = 0
+    #: The last value of ids, steps and revisions: what would pass it stops the run.
+    counter_limit: int = (1 << 63) - 1
 
     def __post_init__(self) -> None:
-        if self.max_steps < 0 or self.max_invocations < 0:
+        if min(self.max_steps, self.max_invocations, self.max_concurrency, self.counter_limit) < 0:
             raise ValueError("limits must not be negative")
         if self.failure_override is not None and self.failure_override not in SCOPES:
             raise ValueError("failure override is unknown")
@@ -68,6 +73,53 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]), key)
 
 
+class Limiter:
+    """Permits for tasks, shared by all calls of a process that are given it."""
+
+    def __init__(self, permits: int):
+        if permits <= 0:
+            raise ValueError("a limiter needs permits")
+        self.free, self._changed = permits, Condition()
+
+    @contextmanager
+    def take(self, wanted: int) -> Iterator[int]:
+        """As many permits as are free, at least one and ``wanted`` at most."""
+        with self._changed:
+            self._changed.wait_for(lambda: self.free > 0)
+            got = min(wanted, self.free)
+            self.free -= got
+        try:
+            yield got
+        finally:
+            with self._changed:
+                self.free += got
+                self._changed.notify_all()
+
+
+class Cancellation:
+    """Stops the calls that are given it: no superstep begins after ``cancel``,
+    and one that runs is interrupted and dropped, so that every run stays at the
+    position before it, with its pending identities."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tag, self._set = spark, f"braidwork-{uuid4().hex}", Event()
+
+    def cancel(self) -> None:
+        self._set.set()
+        self.spark.interruptTag(self.tag)
+
+    def __bool__(self) -> bool:
+        return self._set.is_set()
+
+    @contextmanager
+    def tagged(self) -> Iterator[None]:
+        self.spark.addTag(self.tag)
+        try:
+            yield
+        finally:
+            self.spark.removeTag(self.tag)
+
+
 class Steps:
     """Projections to be applied to any table of rows: a superstep's Columns are
     made once for an engine and resolved anew against each table."""
@@ -243,11 +295,15 @@ class Engine:
         def outcome(x: Column) -> Column:
             call = self.call(F.struct(x["parent"]["num"].alias("num"), x["call"].alias("call")), node=x["join_node"])
             state = _case(x["join_node"], {n: j.merge(x["parent"]["state"], x["view"], call).cast(self.state) for n, j in g.joins.items()}, F.lit(None).cast(self.state))
-            error = _case(x["join_node"], {n: j.error(x["parent"]["state"], x["view"]).cast("string") for n, j in g.joins.items() if j.error is not None}, F.lit(None).cast("string"))
+            errors = {n: j.error(x["parent"]["state"], x["view"]).cast("string") for n, j in g.joins.items() if j.error is not None}
+            for n, j in g.joins.items():
+                if j.timeout_ns and j.elapsed is not None:
+                    errors[n] = F.when(j.elapsed(x["parent"]["state"], x["view"]) > j.timeout_ns, F.lit(DEADLINE)).otherwise(errors.get(n, F.lit(None).cast("string")))
+            error = _case(x["join_node"], errors, F.lit(None).cast("string"))
             following = F.coalesce(_lookup({k: t for k in g.joins if (t := g.next_of(k))}, x["join_node"]), F.lit(""))
             settled = self.out._make("settle", F.when(x["join_node"] != "", state).otherwise(x["parent"]["state"]))
             merged = F.when((x["join_node"] == "") | (following == ""), settled.cast(self.out.type)).otherwise(self.out.to(state, following).cast(self.out.type))
-            if not any(j.error is not None for j in g.joins.values()):
+            if not errors:
                 return merged
             return F.when(error.isNotNull(), self.out.fail(error).cast(self.out.type)).otherwise(merged)
 
@@ -376,7 +432,9 @@ class Engine:
 
         def verdict(x: Column, before: Column) -> Column:
             over = x["is_group"] & (F.size("inv") + before["grown"] + F.size(x["kids"]) > limit) if limit else F.lit(False)
-            why = F.when(x["illegal"].isNotNull(), F.lit("illegal")).when(over, F.lit("max_invocations")).when(x["action"] == "interrupt", F.lit("interrupted")).when(x["action"] == "end_execution", F.lit("end_execution")).when(x["scope"] == "fail_execution", F.lit("fail_execution"))
+            most = self.options.counter_limit
+            spent = (x["ids"] > F.lit(most) - F.col("next_id") - before["before"]) | (F.col("revision") > F.lit(most) - x["ord"])
+            why = F.when(x["illegal"].isNotNull(), F.lit("illegal")).when(spent, F.lit("execution_limit")).when(over, F.lit("max_invocations")).when(x["action"] == "interrupt", F.lit("interrupted")).when(x["action"] == "end_execution", F.lit("end_execution")).when(x["scope"] == "fail_execution", F.lit("fail_execution"))
             return x.withField("first_id", F.col("next_id") + before["before"]).withField("halt", F.when(~x["killed"], why))
 
         rows = rows.withColumn("acts", F.zip_with("acts", F.arrays_zip(*sums), verdict))
@@ -470,7 +528,7 @@ class Engine:
             "run_id", "definition_id", "format_version", (F.col("revision") + F.col("n_done")).alias("revision"), (F.col("steps") + F.col("n_nodes")).alias("steps"), (F.col("next_id") + F.col("n_ids")).alias("next_id"),
             F.coalesce("cursor", "schedule_cursor").alias("schedule_cursor"), F.col("over").alias("completed"), (F.col("had_local_failures") | F.col("failed_here")).alias("had_local_failures"), F.coalesce(failure, "failure").alias("failure"),
             F.coalesce(F.when(F.col("end.halt") == "end_execution", F.col("end.state")), F.col("final")).alias("final"), keeps("inv", F.when(F.size("inv") > 1, by_number(F.col("inv"))).otherwise(F.col("inv"))).alias("inv"), keeps("grp", F.col("grp")).alias("grp"),
-            (F.col("left") - F.col("n_nodes")).alias("left"), (F.col("superstep") + 1).alias("superstep"), F.coalesce("stop", "why.halt").alias("stop"), F.coalesce("message", "why.error").alias("message"), (F.col("idle") | (F.col("n_tasks") == 0)).alias("idle"),
+            (F.col("left") - F.col("n_nodes")).alias("left"), (F.col("superstep") + 1).alias("superstep"), F.coalesce("stop", "why.halt").alias("stop"), F.coalesce("message", "why.error").alias("message"), (F.col("idle") | (F.col("n_tasks") == 0)).alias("idle"), F.col("n_nodes").alias("ran"), (F.col("n_done") - F.col("n_nodes")).alias("merged"),
         )
 
     @cached_property
@@ -519,20 +577,28 @@ class Engine:
         kind = lambda x: F.struct(F.lit("apply").alias("kind"), x["inv"]["node"].alias("node"), F.lit(0).cast("bigint").alias("gone"))
         return self.admitted(rows, self.effects(kind, {"apply": self.graph.nodes}))
 
-    def drive(self, rows: DataFrame, commit: Callable[[DataFrame, DataFrame], None] | None = None, seen: Callable[[dict], None] | None = None) -> DataFrame:
+    def drive(self, rows: DataFrame, commit: Callable[[DataFrame, DataFrame], None] | None = None, seen: Callable[[dict], None] | None = None, limiter: Limiter | None = None, cancel: Cancellation | None = None) -> DataFrame:
         """Supersteps until no run has a task left; gives every run's row.
 
-        ``commit`` gets the rows before and after each superstep, of which it
-        then is one a table; ``seen`` gets the sums of their counters.
+        ``commit`` gets the rows before and after each superstep, ``seen`` how
+        many nodes and merges it committed.
         """
         kept: list[DataFrame] = []
         while True:
             before = rows
-            for _ in range(1 if commit or seen else UNROLLED):
-                rows = self.step(rows)
-            watch = Observation()
-            sums = [F.sum(c).alias(c) for c in ("revision", "steps", "next_id")] if seen else []
-            rows = written(rows.observe(watch, F.count_if(F.expr(GOING)).alias("going"), *sums), "superstep")
+            try:
+                if cancel:
+                    raise InterruptedError
+                with limiter.take(rows.rdd.getNumPartitions()) if limiter else nullcontext() as permits, cancel.tagged() if cancel is not None else nullcontext():
+                    slots = min(filter(None, (permits, self.options.max_concurrency)), default=0)
+                    watch = Observation()
+                    sums = [F.sum(c).alias(c) for c in ("ran", "merged")] if seen else []
+                    rows = written(self.step(rows.coalesce(slots) if slots else rows).observe(watch, F.count_if(F.expr(GOING)).alias("going"), *sums), "superstep")
+            except Exception:
+                if not cancel:
+                    raise
+                stopped = before.withColumn("stop", F.when(F.expr(GOING), F.lit("canceled")).otherwise(F.col("stop")))
+                return reduce(DataFrame.unionByName, [*kept, stopped])
             found = watch.get
             if commit:
                 commit(before, rows)

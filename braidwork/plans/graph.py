@@ -50,7 +50,8 @@ class NodeSpec:
 class JoinSpec:
     """``merge(parent, branches, call)`` gives a state Column; branches are an
     array of (index, target, node, status, state, error) in branch order.
-    ``error(parent, branches)`` may give a message that fails the merge."""
+    ``error(parent, branches)`` may give a message that fails the merge, as does
+    an ``elapsed(parent, branches)``, modelled nanoseconds, above ``timeout_ns``."""
 
     name: str
     source: str
@@ -59,6 +60,8 @@ class JoinSpec:
     can_merge: Callable[[Column, Column], Column] | None = None
     error: Callable[[Column, Column], Column] | None = None
     on_error: str = "fail_invocation"
+    timeout_ns: int = 0
+    elapsed: Callable[[Column, Column], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -139,6 +142,8 @@ class Graph:
             raise GraphError(f"failure scope {spec.on_error!r} is unknown")
         if spec.quorum < 0:
             raise GraphError("quorum is negative")
+        if spec.timeout_ns < 0:
+            raise GraphError("timeout is negative")
         if not valid_name(spec.source):
             raise GraphError("join source is invalid")
         self.joins[spec.name] = spec

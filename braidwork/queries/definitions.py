@@ -203,18 +203,20 @@ SELECT 'o' || k AS run_id, 'i' || (5 + 2 * i) AS invocation_id, CASE f WHEN 'R'
 
 
 def events_log(spark: Spark, d: Dir) -> DataFrame:
-    """Events of a call over the held orders, without its times."""
-    from ..operators.observe import ObservedStore, Session
-    from ..sources.store import MemoryStore
+    """Events of a call over the orders, without its times; callbacks are
+    counted by superstep."""
 
-    log: list[dict] = []
-    session = Session(log.append)
-    store = ObservedStore(MemoryStore(), session)
-    pos = held(spark, d)[1].position
-    with session.span("start", definition_id="held-v1"):
-        store.create(pos)
-    store.load_header()
-    return spark.createDataFrame([(e["operation_id"], e["operation"], e["phase"], e.get("err")) for e in log], "operation_id long, operation string, phase string, err string")
+    def make() -> list[dict]:
+        log: list[dict] = []
+        Runner(order_graph(BILL).compile("observed-v1"), ORDER, observer=log.append).start(order_runs(spark, d))
+        return log
+
+    rows = [(e["operation"], e["phase"], e.get("count", 0)) for e in shared(spark, d, "events", make)]
+    return spark.createDataFrame(rows, "operation string, phase string, n long").groupBy("operation", "phase").agg(F.sum("n").alias("n"))
+
+
+EVENTS = """SELECT 'start' AS operation, 'started' AS phase, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'start', 'finished', 0 UNION ALL SELECT 'join', 'finished', count(*) FROM orders
+UNION ALL SELECT 'node', 'finished', (SELECT 2 * count(*) FROM orders) + (SELECT count(*) FROM lineitem)"""
 
 
 def panic_capture(spark: Spark, d: Dir) -> DataFrame:
@@ -235,6 +237,7 @@ PANIC = "SELECT 'n' || n_nationkey AS run_id, CASE WHEN n_nationkey % 5 = 0 THEN
 
 QUERIES = {f.__name__: f for f in (subgraph_flatten, edge_list, subgraph_scope, subgraph_return, durable_workflow, effect_receipts, team_workflow, assignment_validation, callback_outcomes, events_log, panic_capture)}
 SQL = {
+    "events_log": EVENTS,
     "subgraph_flatten": "SELECT * FROM (VALUES ('end', false), ('middle/inner/three', false), ('middle/leave', false), ('middle/two', false), ('one', true)) t(node, is_entry)",
     "edge_list": "SELECT * FROM (VALUES ('one', 'middle/two', false), ('middle/two', 'middle/inner/three', false)) t(source, target, target_is_join)",
     "subgraph_scope": "SELECT * FROM (VALUES ('one', 'middle', 'middle/two'), ('middle/two', 'inner', 'middle/inner/three')) t(node, local_name, global_name)",

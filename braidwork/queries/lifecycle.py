@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import delta
-from ..operators.runner import Runner
+from ..operators.runner import Result, Runner
 from ..operators.schema import FORMAT_VERSION, Position, ident, public_invocations
 from ..operators.superstep import Options
 from ..operators.validate import stuck, violations
-from ..sources.store import MemoryStore, ParquetStore, corrupt, decode, encode
-from ..sources.tables import table_path
-from .populations import BILL, BRANCHES, ORDER, Window, billed, branches, budgeted, held, order_graph, order_runs, scoped, shared
+from ..sources.store import ConflictError, MemoryStore, ParquetStore, corrupt, decode, encode
+from ..sources.tables import table_path, written
+from .populations import BILL, BRANCHES, ORDER, SCOPED, Window, billed, branches, budgeted, held, order_graph, order_runs, scoped, shared
 
 Spark, Dir = SparkSession, str
 
@@ -65,18 +65,32 @@ RECOVER = f"{_ALL} SELECT 'o' || k AS run_id, CASE WHEN bad THEN 'completed_with
 
 def recover_failed(spark: Spark, d: Dir) -> DataFrame:
     """Failed runs come back with their stored failure; nothing runs."""
-    runs = scoped(spark, d).position.runs.where("failure is not null")
-    return runs.select("run_id", F.concat(F.lit("run failed: "), F.col("failure.node"), F.lit(": "), F.col("failure.message")).alias("error"))
+
+    def make() -> Result:
+        store = MemoryStore()
+        store.create(scoped(spark, d).position)
+        return Runner(order_graph(BILL, scopes=SCOPED).compile("scoped-None-v1"), ORDER, store).recover()
+
+    calls = shared(spark, d, "recovered-failed", make).calls.where("status = 'failed'")
+    return calls.select("run_id", F.concat(F.lit("run failed: "), F.col("failure.node"), F.lit(": "), F.col("failure.message")).alias("error"))
 
 
 RECOVER_FAILED = "SELECT DISTINCT 'o' || o_orderkey AS run_id, 'run failed: line_fail_execution: returned' AS error FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND l_returnflag = 'R'"
 
 
 def resume_stale(spark: Spark, d: Dir) -> DataFrame:
-    """Supplied positions whose stored revision has moved on."""
-    pos = budgeted(spark, d)[1].position
-    stored = pos.runs.withColumn("revision", F.col("revision") + (F.substring("run_id", 2, 20).cast("bigint") % 3 == 0).cast("int"))
-    return delta.conflicts(stored, pos.runs.select("run_id", F.col("revision").alias("expected"))).select("run_id")
+    """Positions of which the store holds a later revision are not opened."""
+
+    def make() -> DataFrame:
+        runner, r = budgeted(spark, d)
+        store = MemoryStore()
+        store.create(r.position)
+        later = r.position.rows.where(F.substring("run_id", 2, 20).cast("bigint") % 3 == 0)
+        store.commit(Position(rows=later.withColumn("revision", F.col("revision") + 1)), later.select("run_id", "revision"))
+        opened = Runner(runner.graph, ORDER, store).resume(r.position, options=Options(max_steps=1)).calls
+        return written(r.position.runs.select("run_id").join(opened, "run_id", "left_anti"), "stale")
+
+    return shared(spark, d, "stale", make)
 
 
 def schedule_rotation(spark: Spark, d: Dir) -> DataFrame:
@@ -147,10 +161,20 @@ DELETE = f"{_ALL} SELECT 'o' || k AS run_id, CASE WHEN n < 2 THEN 0 WHEN n = 2 T
 
 
 def cas_conflict(spark: Spark, d: Dir) -> DataFrame:
-    """Changes of a fifth of the runs expect a revision too low."""
-    runs = _stored(spark, d).load_header()
+    """A commit that expects a revision too low for a fifth of the runs writes
+    nothing and names them."""
+    store = _stored(spark, d)
+    runs, head = store.load_header(), store.head()
     wrong = F.substring("run_id", 2, 20).cast("bigint") % 5 == 0
-    return delta.conflicts(runs, runs.select("run_id", (F.col("revision") - wrong.cast("int")).alias("expected"))).select("run_id", (F.col("stored") - F.col("expected")).alias("behind"))
+    expected = runs.select("run_id", (F.col("revision") - wrong.cast("int")).alias("revision"))
+    try:
+        store.commit(store.load(), expected)
+    except ConflictError:
+        refused = store.head() == head
+    else:
+        refused = False
+    rows = delta.conflicts(store.load_header(), expected.withColumnRenamed("revision", "expected"))
+    return rows.where(F.lit(refused)).select("run_id", (F.col("stored") - F.col("expected")).alias("behind"))
 
 
 def codec_json_roundtrip(spark: Spark, d: Dir) -> DataFrame:

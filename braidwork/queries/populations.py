@@ -151,9 +151,12 @@ def held(spark: SparkSession, sf_dir: str) -> tuple[Runner, Result]:
     return ran(spark, sf_dir, "held", g, ORDER, lambda: order_runs(spark, sf_dir))
 
 
+#: What a failing line does, by the order's status.
+SCOPED = {"O": "fail_invocation", "F": "fail_group", "P": "fail_execution"}
+
+
 def scoped(spark: SparkSession, sf_dir: str, override: str | None = None) -> Result:
-    scopes = {"O": "fail_invocation", "F": "fail_group", "P": "fail_execution"}
-    return ran(spark, sf_dir, f"scoped-{override}", order_graph(BILL, scopes=scopes), ORDER, lambda: order_runs(spark, sf_dir), Options(failure_override=override))[1]
+    return ran(spark, sf_dir, f"scoped-{override}", order_graph(BILL, scopes=SCOPED), ORDER, lambda: order_runs(spark, sf_dir), Options(failure_override=override))[1]
 
 
 def budgeted(spark: SparkSession, sf_dir: str) -> tuple[Runner, Result]:

@@ -302,24 +302,22 @@ UNION ALL SELECT 'o' || k, 'i1', CAST(1 AS BIGINT) FROM b GROUP BY k HAVING coun
 
 def budget_invocations(spark: Spark, d: Dir) -> DataFrame:
     calls = ran(spark, d, "retained", order_graph(BILL), ORDER, lambda: order_runs(spark, d), Options(max_invocations=5))[1].calls
-    return calls.select("run_id", F.when(F.col("status") == "completed_with_failures", F.lit("completed")).otherwise(F.col("status")).alias("status"), "budget_reason", "steps", "revision")
+    return calls.select("run_id", "status", "budget_reason", "steps", "revision")
 
 
-BUDGET_INVOCATIONS = f"""{_FIRST} SELECT 'o' || k AS run_id, CASE WHEN n > 4 THEN 'budget_exhausted' ELSE 'completed' END AS status, CASE WHEN n > 4 THEN 'max_invocations' END AS budget_reason,
+BUDGET_INVOCATIONS = f"""{_FIRST} SELECT 'o' || k AS run_id, CASE WHEN n > 4 THEN 'budget_exhausted' WHEN m IS NULL THEN 'completed' ELSE 'completed_with_failures' END AS status, CASE WHEN n > 4 THEN 'max_invocations' END AS budget_reason,
 CASE WHEN n > 4 THEN 0 ELSE n + 2 END AS steps, CASE WHEN n > 4 THEN 1 ELSE n + 4 END AS revision FROM c"""
 
 
 def counter_limit(spark: Spark, d: Dir) -> DataFrame:
-    """Unsigned 64-bit counters as DECIMAL(20,0): who could not take n more ids."""
-    top = F.lit("18446744073709551615").cast("decimal(20,0)")
-    rows = branches(spark, d).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    start = top - F.lit(12).cast("decimal(20,0)")
-    need = (F.col("n") * 2 + 2).cast("decimal(20,0)")
-    return rows.select(F.concat(F.lit("o"), F.col("k")).alias("run_id"), (start > top - need).alias("exhausted"))
+    """Ids end at 15: a fan-out of more than five lines does not begin, and five
+    leave none for the call after the merge; the position stays as it was."""
+    calls = ran(spark, d, "limited", order_graph(BILL), ORDER, lambda: order_runs(spark, d), Options(counter_limit=15))[1].calls
+    return calls.select("run_id", F.coalesce(F.col("error") == "execution_limit", F.lit(False)).alias("exhausted"), "steps", "revision", "next_id")
 
 
-COUNTER_LIMIT = f"WITH {BRANCHES} SELECT 'o' || k AS run_id, count(*) * 2 + 2 > 12 AS exhausted FROM b GROUP BY k"
-
+COUNTER_LIMIT = f"""{_FIRST} SELECT 'o' || k AS run_id, n >= 5 AS exhausted, CASE WHEN n > 5 THEN 0 WHEN n = 5 THEN 6 ELSE n + 2 END AS steps,
+CASE WHEN n > 5 THEN 1 WHEN n = 5 THEN 7 ELSE n + 4 END AS revision, CASE WHEN n > 5 THEN 3 WHEN n = 5 THEN 15 ELSE 6 + 2 * n END AS next_id FROM c"""
 
 
 QUERIES = {f.__name__: f for f in (

@@ -10,7 +10,8 @@ from ..operators.runner import Result, Runner
 from ..operators.schema import ident
 from ..plans import Graph, JoinSpec, NodeSpec
 from ..sources.tables import written
-from .populations import Window, read, shared
+from ..streaming.inputs import effects
+from .populations import BILL, BRANCHES, ORDER, Window, order_graph, order_runs, order_state, ran, read, shared
 
 Spark, Dir = SparkSession, str
 
@@ -179,5 +180,21 @@ def call_info(spark: Spark, d: Dir) -> DataFrame:
 
 CALL_INFO = f"WITH {_P} SELECT 'u' || u AS run_id, 'i' || (5 + 2 * j) AS invocation_id, 'c' || (5 + 2 * n + j) AS call_id, 'hold' AS node, CAST(j AS INTEGER) AS branch_index FROM p WHERE u % 5 = 0 OR (u % 5 = 1 AND u IN (SELECT u FROM cl))"
 
-QUERIES = {f.__name__: f for f in (pending_list, resume_valid, resume_reject, resume_json, resume_decode_gate, resume_apply, resume_prefix, resume_skip, resume_failure, advance, call_info)}
-SQL = {"pending_list": PENDING, "resume_valid": RESUME_VALID, "resume_reject": RESUME_REJECT, "resume_json": RESUME_JSON, "resume_decode_gate": GATE, "resume_apply": APPLY, "resume_prefix": PREFIX, "resume_skip": SKIP, "resume_failure": FAILURE, "advance": ADVANCE, "call_info": CALL_INFO}
+def effect_graph(spark: Spark, d: Dir) -> DataFrame:
+    """Each line adds its quantity to its order's ledger and goes on with the
+    value that it gets; replays of a call would get the same one."""
+    g = order_graph(BILL, lambda o, s, c: o.wait(s, "effect", "paid")).add_node(NodeSpec("paid", lambda o, s, c: o.complete_branch(s))).add_edge("line", "paid")
+    g.register_continuation("effect", lambda p: p.cast("string").try_cast("bigint"), lambda o, s, p, c, t: o.to_targets(order_state(q=p, f=s["f"]), t))
+    runner, r = ran(spark, d, "effects", g, ORDER, lambda: order_runs(spark, d))
+    result = shared(spark, d, "effects-answered", lambda: effects(runner, r.position, "effect", lambda s: s["q"])[0])
+    return result.calls.select("run_id", "status", F.col("final.q").alias("q"))
+
+
+EFFECT_GRAPH = f"""WITH {BRANCHES}, r AS (SELECT k, sum(q) OVER (PARTITION BY k ORDER BY i) AS v FROM b)
+SELECT 'o' || o_orderkey AS run_id, 'completed' AS status, CAST(coalesce(sum(v), 0) AS BIGINT) AS q FROM orders LEFT JOIN r ON k = o_orderkey GROUP BY o_orderkey"""
+
+
+QUERIES = {f.__name__: f for f in (
+    effect_graph,pending_list, resume_valid, resume_reject, resume_json, resume_decode_gate, resume_apply, resume_prefix, resume_skip, resume_failure, advance, call_info)}
+SQL = {
+    "effect_graph": EFFECT_GRAPH,"pending_list": PENDING, "resume_valid": RESUME_VALID, "resume_reject": RESUME_REJECT, "resume_json": RESUME_JSON, "resume_decode_gate": GATE, "resume_apply": APPLY, "resume_prefix": PREFIX, "resume_skip": SKIP, "resume_failure": FAILURE, "advance": ADVANCE, "call_info": CALL_INFO}
