@@ -79,7 +79,8 @@ def tokens(text: Column) -> Column:
 
 def _template(words: Column) -> Column:
     def code(w: Column) -> Column:
-        return F.when((w < "a") | w.isin(*NUMBERS), F.lit(_NUMBER).cast("long")).when(w.isin(*UNITS), F.lit(_UNIT).cast("long")).when(w.isin(*NAMES), F.lit(_NAME).cast("long")).otherwise(F.xxhash64(w))
+        listed = F.when(w.isin(*NUMBERS), F.lit(_NUMBER)).when(w.isin(*UNITS), F.lit(_UNIT)).otherwise(F.lit(_NAME)).cast("long")
+        return F.when(w < "a", F.lit(_NUMBER).cast("long")).when(w.isin(*NUMBERS, *UNITS, *NAMES), listed).otherwise(F.xxhash64(w))
 
     return F.transform(words, code)
 
@@ -106,24 +107,24 @@ def _windows(df: DataFrame, keep: list[str], size: int, whole: int = WINDOW) ->
     enough words are left."""
     n = F.size("codes")
 
-    def one(codes: str, slots: str, by_form: bool):
-        def window(i: Column) -> Column:
-            own, held = F.slice(codes, i, size), F.array_compact(F.slice(slots, i, size))
-            plain = F.size(F.array_distinct(F.filter(own, lambda c: ~c.between(_NUMBER, _NAME))))
-            exact = (F.size(held) > 0) & (plain < WORDS) if whole == size else F.lit(True)
-            return F.struct(i.alias("at"), own.alias("codes"), held.alias("slots"), exact.alias("exact"), F.slice("words", i, size).alias("words"), F.lit(by_form).alias("by_form"))
-
-        return window
+    def made(places: Column, codes: str, slots: str, by_form: bool) -> Column:
+        # Hashed before they are rows: a row holds no codes, and slots if it has any.
+        cut = F.transform(places, lambda i: F.struct(i.alias("at"), F.slice(codes, i, size).alias("codes"), F.array_compact(F.slice(slots, i, size)).alias("slots")))
+        plain = lambda x: F.size(F.array_distinct(F.filter(x["codes"], lambda c: ~c.between(_NUMBER, _NAME))))
+        exact = lambda x: (F.size(x["slots"]) > 0) & (plain(x) < WORDS) if whole == size else F.lit(True)
+        cut = F.transform(cut, lambda x: F.struct(x["at"].alias("at"), x["codes"].alias("codes"), x["slots"].alias("slots"), exact(x).alias("exact")))
+        tokens_of = lambda x: F.xxhash64(F.lit(size), F.lit("exact"), F.slice("words", x["at"], size))
+        window = lambda x: F.when(x["exact"], tokens_of(x)).otherwise(F.xxhash64(F.lit(size), x["codes"]))
+        return F.transform(cut, lambda x: F.struct(x["at"].alias("at"), window(x).alias("window"), F.when(~x["exact"] & (F.size(x["slots"]) > 0), x["slots"]).alias("slots"), x["exact"].alias("exact"), F.lit(by_form).alias("by_form")))
 
     starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, one("codes", "slots", False))
+    windows = made(starts, "codes", "slots", False)
     if whole == size:
         some = F.filter(starts, lambda i: F.slice("formed", i, size) != F.slice("codes", i, size))
-        formed = F.filter(F.transform(some, one("formed", "formed_slots", True)), lambda w: ~w["exact"])
+        formed = F.filter(made(some, "formed", "formed_slots", True), lambda w: ~w["exact"])
         windows = F.when(F.col("formed").isNotNull(), F.concat(windows, formed)).otherwise(windows)
-    rows = df.select(*keep, F.explode(windows).alias("w")).select(*keep, "w.*")
-    window = F.when(F.col("exact"), F.xxhash64(F.lit(size), F.lit("exact"), "words")).otherwise(F.xxhash64(F.lit(size), "codes"))
-    return rows.select(*keep, "at", window.alias("window"), F.when(~F.col("exact"), F.col("slots")).otherwise(F.array().cast("array<string>")).alias("slots"), "exact", "by_form")
+    rows = df.select(*keep, F.explode(windows).alias("w"))
+    return rows.select(*keep, "w.at", "w.window", F.coalesce("w.slots", F.array().cast("array<string>")).alias("slots"), "w.exact", "w.by_form")
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
