@@ -35,8 +35,8 @@ SHORT = 3
 _SINGLE = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 _MARK = "\x01"
 #: Before a capitalised word that follows a small letter, digit or comma and one space.
-_INSIDE = r"(?<=[\p{Ll}0-9,;]\s)(?=\p{Lu}\p{Ll})"
-_TOKEN = rf"[{_SINGLE}]|\x01?[a-z\x{{80}}-\x{{10FFFF}}&&[^{_SINGLE}]][a-z0-9\x{{80}}-\x{{10FFFF}}&&[^{_SINGLE}]]*|[0-9]+(?:[.,][0-9]+)*"
+_INSIDE = r"\s(?<=[\p{Ll}0-9,;]\s)(?=\p{Lu}\p{Ll})"
+_TOKEN = r"\x01?[a-z\x{80}-\x{10FFFF}][a-z0-9\x{80}-\x{10FFFF}]*|[0-9]+(?:[.,][0-9]+)*"
 
 # Spelled numbers, units and given names that become placeholders in every template.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split()
@@ -73,8 +73,10 @@ _NUMBER, _UNIT, _NAME = 1, 2, 3
 def tokens(text: Column) -> Column:
     """Lower-cased words and numbers of a whole text, with a mark before those
     that have a capital inside a sentence; null has none."""
-    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _MARK, " "), _INSIDE, _MARK)
-    return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), F.lit(0))
+    text = F.translate(F.coalesce(text, F.lit("")), _MARK, " ")
+    foreign = (F.octet_length(text) > F.length(text)) & text.rlike(f"[{_SINGLE}]")
+    text = F.when(foreign, F.regexp_replace(text, f"[{_SINGLE}]", " $0 ")).otherwise(text)
+    return F.regexp_extract_all(F.lower(F.regexp_replace(text, _INSIDE, f"$0{_MARK}")), F.lit(_TOKEN), F.lit(0))
 
 
 def _template(words: Column) -> Column:
@@ -107,20 +109,30 @@ def _windows(df: DataFrame, keep: list[str], size: int, whole: int = WINDOW) ->
     enough words are left."""
     n = F.size("codes")
 
+    # Windows are hashed where they stand, by places: only those with a
+    # placeholder are cut out, for their slots and different words.
     def made(places: Column, codes: str, slots: str, by_form: bool) -> Column:
-        # Hashed before they are rows: a row holds no codes, and slots if it has any.
-        cut = F.transform(places, lambda i: F.struct(i.alias("at"), F.slice(codes, i, size).alias("codes"), F.array_compact(F.slice(slots, i, size)).alias("slots")))
-        plain = lambda x: F.size(F.array_distinct(F.filter(x["codes"], lambda c: ~c.between(_NUMBER, _NAME))))
-        exact = lambda x: (F.size(x["slots"]) > 0) & (plain(x) < WORDS) if whole == size else F.lit(True)
-        cut = F.transform(cut, lambda x: F.struct(x["at"].alias("at"), x["codes"].alias("codes"), x["slots"].alias("slots"), exact(x).alias("exact")))
-        tokens_of = lambda x: F.xxhash64(F.lit(size), F.lit("exact"), F.slice("words", x["at"], size))
-        window = lambda x: F.when(x["exact"], tokens_of(x)).otherwise(F.xxhash64(F.lit(size), x["codes"]))
-        return F.transform(cut, lambda x: F.struct(x["at"].alias("at"), window(x).alias("window"), F.when(~x["exact"] & (F.size(x["slots"]) > 0), x["slots"]).alias("slots"), x["exact"].alias("exact"), F.lit(by_form).alias("by_form")))
+        at = lambda i: [F.get(codes, i - 1 + k) for k in range(size)]
+        held = lambda i: reduce(lambda a, b: a | b, [c.between(_NUMBER, _NAME) for c in at(i)])
+        plain = lambda i: F.size(F.array_distinct(F.filter(F.slice(codes, i, size), lambda c: ~c.between(_NUMBER, _NAME))))
+        exact = lambda i: held(i) & (plain(i) < WORDS) if whole == size else F.lit(True)
+        template = lambda i: F.xxhash64(F.lit(size), *at(i))
+        tokens_of = lambda i: F.xxhash64(F.lit(size), F.lit("exact"), F.slice("words", i, size))
+
+        def window(i: Column) -> Column:
+            cut = F.struct(i.alias("at"), F.when(exact(i), tokens_of(i)).otherwise(template(i)).alias("window"), F.when(~exact(i), F.array_compact(F.slice(slots, i, size))).alias("slots"), exact(i).alias("exact"), F.lit(by_form).alias("by_form"))
+            if whole != size:
+                return cut
+            bare = F.struct(i.alias("at"), template(i).alias("window"), F.lit(None).cast("array<string>").alias("slots"), F.lit(False).alias("exact"), F.lit(by_form).alias("by_form"))
+            return F.when(held(i), cut).otherwise(bare)
+
+        return F.transform(places, window)
 
     starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
     windows = made(starts, "codes", "slots", False)
     if whole == size:
-        some = F.filter(starts, lambda i: F.slice("formed", i, size) != F.slice("codes", i, size))
+        other = lambda i: reduce(lambda a, b: a | b, [F.get("formed", i - 1 + k) != F.get("codes", i - 1 + k) for k in range(size)])
+        some = F.filter(starts, other)
         formed = F.filter(made(some, "formed", "formed_slots", True), lambda w: ~w["exact"])
         windows = F.when(F.col("formed").isNotNull(), F.concat(windows, formed)).otherwise(windows)
     rows = df.select(*keep, F.explode(windows).alias("w"))
