@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 NAMES = (
     "join_full_merge", "counters", "completion", "run_status", "fanout_zero_joined", "end_branch", "complete_branch", "fail_invocation", "join_by_edge", "wait_pending", "snapshot_order", "fork", "join_nested", "budget_steps", "ready_set",
     "store_durable_roundtrip", "load_header", "cas_conflict", "resume_stale", "pending_list", "resume_valid", "resume_decode_gate", "resume_apply", "resume_prefix", "resume_skip", "advance", "delta_diff", "delta_apply", "change_invalid",
-    "validate_ok", "validate_bad", "stuck_runs", "codec_json_roundtrip", "corrupt_detect", "effect_receipts", "assignment_validation", "edge_list", "subgraph_flatten", "subgraph_scope", "join_can_merge", "illegal_transition",
+    "validate_ok", "validate_bad", "stuck_runs", "codec_json_roundtrip", "corrupt_detect", "effect_receipts", "assignment_validation", "edge_list", "subgraph_flatten", "subgraph_scope", "join_can_merge", "illegal_transition", "counter_limit", "effect_graph", "events_log",
 )
 
 
