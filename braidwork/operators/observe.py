@@ -90,6 +90,7 @@ def log_observer(logger: logging.Logger) -> Callable[[dict], None]:
 
 
 def outcomes(rows: DataFrame) -> DataFrame:
-    """What became of each task of ``Engine.tasks``: committed or discarded."""
+    """What became of each task of ``Engine.tasks``, once written (fields of an
+    array that is still an expression would repeat it): committed or discarded."""
     acts = rows.select("run_id", F.inline("acts"))
     return acts.select("run_id", "kind", F.concat(F.lit("i"), F.col("num")).alias("invocation_id"), "node", "action", F.when(F.col("accepted"), F.lit("committed")).otherwise(F.lit("discarded")).alias("outcome"))

@@ -161,9 +161,8 @@ class Runner:
             rows = self._live(pos, options)
             if inputs is not None:
                 before = rows
-                rows = engine.apply(self._answered(engine, rows, inputs))
+                rows = written(engine.apply(self._answered(engine, rows, inputs)), "applied")
                 if self.store is not None:
-                    rows = written(rows, "applied")
                     self._commit(before, rows)
             return self._drive(engine, rows)
 

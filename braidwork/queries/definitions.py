@@ -190,7 +190,7 @@ def callback_outcomes(spark: Spark, d: Dir) -> DataFrame:
         g = order_graph(BILL, lambda o, s, c: F.when(s["f"] == "R", o.end_execution(s)).otherwise(line_run(o, s, c))).compile("outcomes-v1")
         runner = Runner(g, ORDER)
         pos = runner.start(order_runs(spark, d), Options(max_steps=1)).position
-        return written(outcomes(Engine(g, ORDER).tasks(runner._live(pos, Options()))), "outcomes")
+        return outcomes(written(Engine(g, ORDER).tasks(runner._live(pos, Options())), "tasks"))
 
     return shared(spark, d, "outcomes", make).where("node = 'line'").select("run_id", "invocation_id", "action", "outcome")
 
