@@ -7,6 +7,10 @@ compared: first all with the smallest text of the key, then every pair that is
 not linked by then, so a dense group costs rows in proportion to its members
 and no pair is left out by rank. Sketches discard pairs far from the least
 similarity and decide short texts; the full sets of shingles decide the others.
+
+With a ``radius``, texts whose SimHash fingerprints differ in so many bits or
+fewer are linked first, through ``simhash``'s index; shingles are then compared
+where texts are not linked yet, and a group is linked by either.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .common import batches_of, components, empty, row_key, word_blocks, written
-from .simhash import UNIT
+from .simhash import UNIT, fingerprint, groups
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Keys of a text, and minima that make a key.
@@ -94,23 +98,35 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(both, a, assume_unique=True) @ np.isin(both, b, assume_unique=True).astype(int)) / len(both)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            rows = [describe(t.as_py()) for t in part.column(2)]
-            sizes = np.cumsum([0, *(len(r[2]) for r in rows)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    part.column(1),
-                    pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([r[1] for r in rows]).view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([r[2] for r in rows]).view(np.int32))),
-                    pa.array([r[3] for r in rows], pa.int32()),
-                ],
-                names=["doc_id", "row", "key", "bands", "sketch", "n"],
-            )
+def _describe(prints: bool):
+    """Columns doc_id, row, text; out come doc_id, row, what ``describe`` gives
+    and, if ``prints``, the SimHash fingerprint (else 0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                rows, fps = [], np.zeros(part.num_rows, np.uint64)
+                for k, value in enumerate(part.column(2)):
+                    text = value.as_py()
+                    rows.append(describe(text))
+                    if prints:
+                        fps[k] = fingerprint(text)
+                sizes = np.cumsum([0, *(len(r[2]) for r in rows)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(1),
+                        pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([r[1] for r in rows]).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([r[2] for r in rows]).view(np.int32))),
+                        pa.array([r[3] for r in rows], pa.int32()),
+                        pa.array(fps.view(np.int64)),
+                    ],
+                    names=["doc_id", "row", "key", "bands", "sketch", "n", "fp"],
+                )
+
+    return run
 
 
 def _meeting(sketches: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -165,11 +181,24 @@ def _apart(least: float):
     return run
 
 
+def alike(classes: DataFrame, radius: int, unit: int = UNIT) -> DataFrame:
+    """``key, first_key`` over ``classes (key, fp)``: the smallest key of the
+    group of texts that links of SimHash within ``radius`` bits join."""
+    roots = groups(classes.select("fp"), radius, unit)
+    least = classes.groupBy("fp").agg(F.min("key").alias("least")).join(roots, "fp")
+    least = least.withColumnRenamed("fp", "print")
+    first = least.groupBy("root").agg(F.min("least").alias("first_key"))
+    named = least.join(first, "root").select(F.col("print").alias("fp"), "first_key")
+    return written(classes.select("key", "fp").join(named, "fp").select("key", "first_key"), "near-alike")
+
+
 def shared_bands(classes: DataFrame) -> DataFrame:
-    """``band, key, least, n`` over ``classes (key, bands)``: the bands of more
-    than one text, with the smallest of their keys and their number."""
-    rows = classes.select("key", F.explode("bands").alias("band"))
-    many = written(rows.groupBy("band").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-many")
+    """``band, key, first_key, least, least_first, n`` over ``classes (key,
+    bands, first_key)``: the bands of more than one text, with the smallest of
+    their keys, its first_key and their number."""
+    rows = classes.select("key", "first_key", F.explode("bands").alias("band"))
+    many = rows.groupBy("band").agg(F.min(F.struct("key", "first_key")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = written(many.select("band", F.col("least.key").alias("least"), F.col("least.first_key").alias("least_first"), "n"), "near-many")
     return written(rows.join(many, "band"), "near-shared")
 
 
@@ -248,9 +277,10 @@ def linked(asked: DataFrame, prints: DataFrame, classes: DataFrame, texts: DataF
         return sure.unionByName(written(exact.where(F.col("s") >= least).select("a", "b"), f"near-exact-{name}"))
 
 
-def one_of_each(docs: DataFrame, least: float = SIMILARITY, unit: int = UNIT) -> DataFrame:
+def one_of_each(docs: DataFrame, least: float = SIMILARITY, unit: int = UNIT, radius: int | None = None) -> DataFrame:
     """``docs`` with one row of each group of texts that are equal word for
-    word (A-Z folded) or linked by similarities of ``least`` or more.
+    word (A-Z folded), linked by similarities of ``least`` or more or, with a
+    ``radius``, by SimHash fingerprints that differ in so many bits or fewer.
 
     It is the row with the smallest doc_id (nulls last), then the smallest hash
     of all columns; of rows equal in all columns one stays. Texts without words
@@ -259,13 +289,19 @@ def one_of_each(docs: DataFrame, least: float = SIMILARITY, unit: int = UNIT) ->
     keyed = docs.withColumn("_bw_row", row_key(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = keyed.select("doc_id", F.col("_bw_row").alias("row"), F.col("text").cast("string").alias("text"))
-    prints = written(named.mapInArrow(_describe, f"doc_id {kind}, row struct<a:long,b:long>, key long, bands array<long>, sketch array<int>, n int"), "near-prints")
+    described = named.mapInArrow(_describe(radius is not None), f"doc_id {kind}, row struct<a:long,b:long>, key long, bands array<long>, sketch array<int>, n int, fp long")
+    prints = written(described, "near-prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row"))
-    classes = written(prints.groupBy("key").agg(first.alias("first"), F.first("bands").alias("bands")), "near-classes")
-    shared = shared_bands(classes)
-    asked = written(shared.where("key <> least").select(*_ordered("key", "least")).distinct(), "near-asked")
+    classes = written(prints.groupBy("key").agg(first.alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "near-classes")
+    if radius is None:
+        near, known = classes.select("key", "bands", F.col("key").alias("first_key")), classes.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    else:
+        same = alike(classes, radius, unit)
+        near, known = classes.select("key", "bands").join(same, "key"), same.where("key <> first_key").select(*_ordered("key", "first_key"))
+    shared = shared_bands(near)
+    asked = written(shared.where("first_key <> least_first").select(*_ordered("key", "least")).distinct(), "near-asked")
     texts = named.select("row", "text")
-    found = written(linked(asked, prints, classes, texts, least, "stars"), "near-linked")
+    found = written(known.unionByName(linked(asked, prints, classes, texts, least, "stars")), "near-linked")
     labels = components(found).withColumnRenamed("node", "key") if not empty(found) else classes.select("key", F.col("key").alias("root")).limit(0)
     more = written(unsettled(shared, labels, _sketches(prints).select("key", "sketch"), least, unit).join(asked, ["a", "b"], "left_anti"), "near-unsettled")
     if not empty(more):

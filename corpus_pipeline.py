@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import decontaminate, mixing, neartext, quality, shards
+from braidwork.llm import decontaminate, mixing, neartext, quality, shards, simhash
 from braidwork.llm.common import written
 
 SHARDS = 40
@@ -27,9 +27,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: texts equal word for word, or linked by
-    similarities of 0.8 or more of their five-word shingles."""
-    return neartext.one_of_each(docs)
+    """One document of each group: texts whose SimHash fingerprints (as in
+    ``op3``) differ in three bits or fewer, and texts that this leaves apart but
+    similarities of 0.8 or more of their five-word shingles link."""
+    return neartext.one_of_each(docs, radius=simhash.RADIUS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from braidwork.llm import neartext
+from braidwork.llm import neartext, simhash
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -175,3 +175,47 @@ def test_long_texts_are_decided_by_all_shingles(spark):
         like.append(jaccard(a, b) >= 0.8)
     assert 5 < sum(like) < 35
     assert kept_ids(spark, texts) == {2 * k for k in range(40)} | {2 * k + 1 for k in range(40) if not like[k]}
+
+
+def simhash_rows(seed):
+    """Texts that only SimHash links, that only shingles link, and chains of both."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(12):
+        base = prose(rng, 300, 10**6)
+        texts += [base, *(edited(rng, base, n) for n in (2, 5, 7, 9, 12))]
+    line = prose(rng, 9)
+    texts += [" ".join([line] * 30 + [prose(rng, 12)]) for _ in range(6)]
+    texts += [prose(rng, rng.choice([1, 2, 3, 40])) for _ in range(30)] + [texts[-1].upper(), "", "  ", None]
+    rows = [(1000 - k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (None, texts[-5]), (3, texts[7]), (3, texts[7])]
+    rng.shuffle(rows)
+    return rows
+
+
+def links_of(rows):
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i)]
+    return {p for p in pairs if (fps[p[0]] ^ fps[p[1]]).bit_count() <= 3}, {(i, j) for i, j in pairs if jaccard(rows[i][1], rows[j][1]) >= 0.8}
+
+
+@pytest.mark.parametrize("unit", [8192, 8])
+def test_the_stage_links_by_simhash(spark, unit):
+    rows = simhash_rows(21)
+    near, similar = links_of(rows)
+
+    def groups(pairs):
+        root = np.arange(len(rows))
+        a, b = zip(*sorted(pairs))
+        simhash.merge(root, np.array(a), np.array(b))
+        return root
+
+    both = groups(near | similar)
+    # Each kind links what the other does not.
+    assert len(near - similar) >= 15 and len(similar - near) >= 15
+    assert len(set(both)) < min(len(set(groups(near))), len(set(groups(similar))))
+    ids = {r: min((d for (d, _), x in zip(rows, both) if x == r and d is not None), default=None) for r in set(both)}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)
+    stage = corpus_pipeline.drop_near_duplicates if unit == 8192 else lambda spark, docs, _: neartext.one_of_each(docs, unit=unit, radius=simhash.RADIUS)
+    kept = stage(spark, docs, "").collect()
+    assert Counter(r.doc_id for r in kept) == Counter(ids.values())
+    assert stage(spark, docs.limit(0), "").count() == 0
