@@ -32,8 +32,8 @@ from .simhash import UNIT, fingerprint, groups
 SHINGLE, SIMILARITY = 5, 0.8
 #: Keys of a text, and minima that make a key.
 BANDS, ROWS = 32, 5
-#: Shingles of a text that its sketch holds: those with the smallest hashes. Up
-#: to so many a similarity is exact, beyond it is off by 0.02 or less (one sigma).
+#: Shingles of a text that its sketch holds: those with the smallest hashes. Of
+#: texts with fewer a similarity is exact, else off by 0.02 or less (one sigma).
 SKETCH = 512
 #: Pairs with sketches, and with whole sets of shingles, that Python gets at once.
 SKETCHES, SETS = 1024, 64
@@ -90,9 +90,11 @@ def describe(text: str | None) -> tuple[int, np.ndarray, np.ndarray, int]:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Of the shingle sets behind two sketches: the share that both have of the
-    SKETCH smallest hashes of either."""
-    both = np.union1d(a, b)[:SKETCH]
+    """Of the shingle sets behind two sketches: the share that both have of all
+    hashes if the sketches are whole, else of the SKETCH smallest of either."""
+    both = np.union1d(a, b)
+    if max(len(a), len(b)) >= SKETCH:
+        both = both[:SKETCH]
     if not len(both):
         return 1.0
     return float(np.isin(both, a, assume_unique=True) @ np.isin(both, b, assume_unique=True).astype(int)) / len(both)
@@ -132,7 +134,7 @@ def _describe(prints: bool):
 def _meeting(sketches: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions i, j of sketches that may be similar by ``least``: what both
     hold, over the size of their union (SKETCH at most), bounds ``similarity``
-    from above and is equal to it for whole sketches."""
+    from above; for whole sketches it is over all of the union and equal to it."""
     sizes = np.array([len(x) for x in sketches])
     own = np.repeat(np.arange(len(sizes)), sizes)
     codes = np.unique(np.concatenate(sketches), return_inverse=True)[1]
@@ -142,8 +144,8 @@ def _meeting(sketches: list[np.ndarray], least: float) -> Iterator[tuple[np.ndar
     for i, (lo, hi) in enumerate(zip(ends - sizes, ends, strict=True)):
         if lo < hi:
             both = np.bincount(np.concatenate([holders[c] for c in codes[lo:hi]]), minlength=len(sizes))
-            limit = np.where(np.maximum(sizes, sizes[i]) < SKETCH, least, least - FAR)
-            j = np.flatnonzero(both / np.minimum(SKETCH, sizes[i] + sizes - both) >= limit)
+            whole, union = np.maximum(sizes, sizes[i]) < SKETCH, sizes[i] + sizes - both
+            j = np.flatnonzero(both / np.where(whole, union, np.minimum(SKETCH, union)) >= np.where(whole, least, least - FAR))
             yield np.full(len(j), i), j
 
 
@@ -263,7 +265,7 @@ def linked(asked: DataFrame, prints: DataFrame, classes: DataFrame, texts: DataF
     # Copies are merged before the join, so that no key is hot in it.
     sketches = _sketches(prints).join(_ends(asked), "key")
     pairs = _both(asked, written(sketches, f"near-sketches-{name}"), ["sketch", "n"])
-    pairs = pairs.select("a", "b", _similarity("sketch_a", "sketch_b").alias("s"), (F.greatest("n_a", "n_b") <= SKETCH).alias("whole"))
+    pairs = pairs.select("a", "b", _similarity("sketch_a", "sketch_b").alias("s"), (F.greatest("n_a", "n_b") < SKETCH).alias("whole"))
     with batches_of(spark, SKETCHES):
         pairs = written(pairs.where(F.col("s") >= F.when(F.col("whole"), least).otherwise(least - FAR)), f"near-sketched-{name}")
     sure, rest = pairs.where("whole").select("a", "b"), pairs.where("not whole").select("a", "b")

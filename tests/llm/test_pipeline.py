@@ -219,3 +219,19 @@ def test_the_stage_links_by_simhash(spark, unit):
     kept = stage(spark, docs, "").collect()
     assert Counter(r.doc_id for r in kept) == Counter(ids.values())
     assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_texts_that_fill_a_sketch_together_are_decided_by_all_shingles(spark):
+    """Each has under 512 shingles, both together more."""
+    rng = random.Random(14)
+    texts, like = [], []
+    for k in range(40):
+        a = prose(rng, 494 + k % 10, 10**6)
+        words = a.split()
+        for at in range(20, 20 + 40 * 11, 40):
+            words[at] = f"e{rng.randrange(10**6)}"
+        texts += [a, " ".join(words)]
+        like.append(jaccard(*texts[-2:]) >= 0.8)
+        assert len(shingles(texts[-1]) | shingles(a)) > 512 > len(shingles(a))
+    assert 10 < sum(like) < 30
+    assert kept_ids(spark, texts) == {2 * k for k in range(40)} | {2 * k + 1 for k in range(40) if not like[k]}
