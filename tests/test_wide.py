@@ -38,3 +38,8 @@ def same(spark, tables, name):
 
 def test_more_customers_than_the_default_steps(spark, tables):
     same(spark, tables, "join_nested")
+
+
+def test_children_are_numbered_in_linear_time(spark, tables):
+    # 18,000 children in one group; the square of it took minutes.
+    assert same(spark, tables, "id_allocation") < 60
