@@ -43,3 +43,8 @@ def test_more_customers_than_the_default_steps(spark, tables):
 def test_children_are_numbered_in_linear_time(spark, tables):
     # 18,000 children in one group; the square of it took minutes.
     assert same(spark, tables, "id_allocation") < 60
+
+
+def test_a_group_with_many_failures(spark, tables):
+    # 2,000 of a group's tasks fail beside 18,000 others.
+    assert same(spark, tables, "fail_group_nested") < 60
