@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from braidwork.operators.delta import conflicts
 from braidwork.operators.observe import ObservedStore, Session
 from braidwork.operators.runner import Runner
 from braidwork.plans import Graph, NodeSpec
@@ -85,3 +86,27 @@ def test_observer_faults_stay_outside(spark):
     store = ObservedStore(MemoryStore(), Session(log.append))
     store.create(waiting(spark, 1)[1])
     assert [(e["operation"], e["phase"]) for e in log] == [("create", "started"), ("create", "finished")]
+
+
+def test_commits_gather_no_runs_on_the_driver(spark):
+    """A few columns of many runs pass for a small table: nothing is joined to
+    find what moved, and joins by run are not broadcast."""
+
+    class Kept(MemoryStore):
+        def commit(self, pos, expected):
+            self.plan = pos.rows._jdf.queryExecution().executedPlan().toString()
+            super().commit(pos, expected)
+
+    runner, pos = waiting(spark)
+    store = Kept()
+    store.create(pos)
+    inputs = spark.createDataFrame([("r1", 0, "i1", "c3", b"5")], ANSWER)
+    calls = Runner(runner.graph, S, store).recover(inputs=inputs).calls.collect()
+    assert {r.run_id: r.status for r in calls} == {"r0": "waiting", "r1": "completed", "r2": "waiting"}
+    assert {r.run_id: r.revision for r in store.load_header().collect()} == {"r0": 2, "r1": 4, "r2": 2}
+    assert "Join" not in store.plan
+    behind = conflicts(store.load_header(), pos.runs.select("run_id", F.col("revision").alias("expected")))
+    for frame in (behind, store.load().rows):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [r.run_id for r in behind.collect()] == ["r1"]
